@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelattice.llm import language_id, quality
+from sitelattice.llm import exact_dedup, language_id, minhash, mixing, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1,
+        "op3_sharding": sharding.op3,
         "op4_quality": quality.op4,
+        "op5_mixing": mixing.op5,
+        "op7_minhash": minhash.op7,
         "op8_language_id": language_id.op8,
+        "op9_exact_dedup": exact_dedup.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_mixing": mixing.OP5_SQL,
+        "op7_minhash": minhash.OP7_SQL,
+        "op9_exact_dedup": exact_dedup.OP9_SQL,
+    }
