@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Dense features of a whole text: densities of a base lexicon and of a lexicon
-learned from the training sample, the same after undoing look-alike characters
+learned from the training sample, of word stems learned there (insults in
+languages that the base lexicon lacks, in any inflection), the same after undoing look-alike characters
 (obfuscation), lexicon words near second-person words, capitals, punctuation,
 symbols and repeated characters.  Trees are grown on histograms in numpy; the
 isotonic curve is fitted on out-of-fold scores.
@@ -32,6 +33,8 @@ LEXICON = ("idiot", "stupid", "moron", "loser", "trash", "scum", "clown", "pathe
 SECOND_PERSON = ("you", "your", "yours", "yourself", "youre", "u", "ur")
 LOOK_ALIKES = bytes.maketrans(b"0134578@$!|", b"oieastbasil")
 LEARNED_WORDS = 256
+#: Lengths in bytes of the word beginnings that count as stems.
+STEMS = (4, 5, 6, 7, 8)
 NEAR = 5
 
 _LETTER = np.zeros(256, bool)
@@ -75,14 +78,38 @@ def _per_doc(flag: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]).astype(np.float64)
 
 
-def features(column: pa.Array, base: np.ndarray, learned: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, textvec.Words]:
-    """(rows, 16) dense features, and the words that the lexicons are matched with."""
+def stem_hashes(words: textvec.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the first n <= 8 bytes of each longer word, and the words' numbers."""
+    eight = np.ndarray((len(words.data) + 1,), "<u8", words.padded, 0, (1,))
+    longer = np.flatnonzero(words.end - words.start > n)
+    return textvec.mix(eight[words.start[longer]] & np.uint64((1 << 8 * n) - 1), 900 + n), longer
+
+
+def _vocabulary(words: textvec.Words) -> list[tuple[bytes, bytes]]:
+    """For each document: its distinct words, and the stems that begin two of its words or more."""
+    parts = [stem_hashes(words, n) for n in STEMS]
+    value, owner = np.concatenate([v for v, _ in parts]), words.doc[np.concatenate([w for _, w in parts])]
+    order = np.argsort(owner, kind="stable")
+    value, first = value[order], np.searchsorted(owner[order], np.arange(len(words.at)))
+    out = []
+    for a, b, c, d in zip(words.first[:-1], words.first[1:], first[:-1], first[1:]):
+        stems, count = np.unique(value[c:d], return_counts=True)
+        out.append((np.unique(words.hash[a:b]).tobytes(), stems[count > 1].tobytes()))
+    return out
+
+
+def features(column: pa.Array, base: np.ndarray, learned: np.ndarray, stems: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, textvec.Words]:
+    """(rows, 18) dense features, and the words that the lexicons are matched with."""
     data, at = textvec.text_buffer(column)
     plain, undone = _letters_only(data, at, False), _letters_only(data, at, True)
     n = np.maximum(np.diff(plain.first), 1)
-    in_base, in_learned, in_undone = _member(plain.hash, base), _member(plain.hash, learned), _member(undone.hash, base) 
+    in_base, in_learned, in_undone = _member(plain.hash, base), _member(plain.hash, learned), _member(undone.hash, base)
+    in_stems = np.zeros(len(plain.start), bool)
+    for length in STEMS:
+        value, longer = stem_hashes(plain, length)
+        in_stems[longer[_member(value, stems)]] = True
     person = np.flatnonzero(_member(plain.hash, second))
-    hit = np.flatnonzero(in_base | in_learned)
+    hit = np.flatnonzero(in_base | in_learned | in_stems)
     near = np.zeros(len(plain.start), bool)
     for side in (-1, 0):
         other = person[np.clip(np.searchsorted(person, hit) + side, 0, max(len(person) - 1, 0))] if len(person) else np.zeros(0, np.int64)
@@ -92,13 +119,14 @@ def features(column: pa.Array, base: np.ndarray, learned: np.ndarray, second: np
     size = np.maximum(np.diff(at), 1)
     same = np.zeros(len(data), bool)
     same[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+    stem_n = _per_doc(in_stems, plain.first)
     base_n, learned_n, undone_n = _per_doc(in_base, plain.first), _per_doc(in_learned, plain.first), _per_doc(in_undone, undone.first)
     return np.stack([
         base_n / n, np.log1p(base_n), learned_n / n, np.log1p(learned_n),
         np.maximum(undone_n - base_n, 0) / n, np.log1p(np.maximum(undone_n - base_n, 0)),
         _per_doc(near, plain.first) / n, np.log1p(_per_doc(near, plain.first)), np.bincount(plain.doc[person], minlength=len(n)) / n,
         upper / np.maximum(letters, 1), _per_doc(_STOP[data], at) / size, marks / size, digits / size, letters / size,
-        _per_doc(same, at) / size, np.log1p(np.diff(plain.first)),
+        _per_doc(same, at) / size, np.log1p(np.diff(plain.first)), stem_n / n, np.log1p(stem_n),
     ], 1), plain
 
 
@@ -188,27 +216,27 @@ def fit(sample: DataFrame) -> dict:
         for batch in batches:
             for rows in textvec.slices(batch, "text"):
                 plain = _letters_only(*textvec.text_buffer(rows.column("text")), False)
-                cells = [np.unique(plain.hash[a:b]).tobytes() for a, b in zip(plain.first[:-1], plain.first[1:])]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), rows.column("text").cast(pa.string()), pa.array(cells, pa.binary())], ["doc_id", "label", "text", "words"])
+                cells = [pa.array(c, pa.binary()) for c in zip(*_vocabulary(plain))]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), rows.column("text").cast(pa.string()), *cells], ["doc_id", "label", "text", "words", "stems"])
 
-    rows = sample.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, text string, words binary").toArrow().sort_by("doc_id")
+    rows = sample.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, text string, words binary, stems binary").toArrow().sort_by("doc_id")
     y = rows["label"].to_numpy().astype(np.float64)
-    model = {"base": base, "second": second, "learned": np.zeros(0, np.uint64), "trees": None, "share": (y.sum() + 1) / (len(y) + 2)}
+    model = {"base": base, "second": second, "learned": np.zeros(0, np.uint64), "stems": np.zeros(0, np.uint64), "trees": None, "share": (y.sum() + 1) / (len(y) + 2)}
     if not y.any() or y.all():
         return model
-    cells = [np.frombuffer(c, np.uint64) for c in rows["words"].to_pylist()]
+    cells, stem_cells = ([np.frombuffer(c, np.uint64) for c in rows[name].to_pylist()] for name in ("words", "stems"))
     text, part, outside = rows["text"].combine_chunks(), np.arange(len(y)) % 3, np.zeros(len(y))
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
 
-    def dense(learned):
-        return np.concatenate([features(b.column("text"), base, learned, second)[0] for b in textvec.slices(pa.RecordBatch.from_arrays([text], ["text"]), "text")])
+    def dense(learned, stems):
+        return np.concatenate([features(b.column("text"), base, learned, stems, second)[0] for b in textvec.slices(pa.RecordBatch.from_arrays([text], ["text"]), "text")])
 
     for k in range(3):  # the learned lexicon, too, is blind to the fold that it is calibrated on
         own = np.flatnonzero(part != k)
-        x = dense(learn_lexicon([cells[i] for i in own], y[own]))
+        x = dense(*(learn_lexicon([c[i] for i in own], y[own]) for c in (cells, stem_cells)))
         outside[part == k] = Trees().fit(x[own], y[own]).margin(x[part == k])
-    model["learned"] = learn_lexicon(cells, y)
-    model["trees"] = Trees().fit(dense(model["learned"]), y)
+    model["learned"], model["stems"] = learn_lexicon(cells, y), learn_lexicon(stem_cells, y)
+    model["trees"] = Trees().fit(dense(model["learned"], model["stems"]), y)
     model["knots"] = isotonic(outside, y)
     return model
 
@@ -227,7 +255,7 @@ def score(docs: DataFrame, model: dict, keep: list[str], name: str = "score") ->
                 if m["trees"] is None:
                     p = np.full(rows.num_rows, m["share"])
                 else:
-                    x, _ = features(rows.column("text"), m["base"], m["learned"], m["second"])
+                    x, _ = features(rows.column("text"), m["base"], m["learned"], m["stems"], m["second"])
                     p = np.interp(m["trees"].margin(x), *m["knots"])
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in inner), pa.array(p.astype(np.float64))], [*inner, "_score"])
 
