@@ -26,6 +26,7 @@ SLICE_BYTES = 1 << 19
 _WHITE = (0x20, *range(0x09, 0x0E))
 _FOLD = bytes(0x20 if i in _WHITE else i for i in range(256))
 _FOLD_LOWER = bytes(i + 32 if 65 <= i <= 90 else _FOLD[i] for i in range(256))
+_PUNCTUATION = np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -130,6 +131,13 @@ def split(data: np.ndarray, at: np.ndarray, lower: bool = True) -> Words:
     return Words(data, padded, at, np.flatnonzero(begins), np.flatnonzero(ends) + 1)
 
 
+def plain_words(column: pa.Array) -> Words:
+    """Words without their ASCII punctuation; those made of nothing else vanish."""
+    data, at = text_buffer(column)
+    keep = ~_PUNCTUATION[data]
+    return split(data[keep], np.concatenate([[0], np.cumsum(keep)])[at])
+
+
 def char_grams(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hash of every run of n bytes that lies in one document; where each document's runs start."""
     count = np.maximum(np.diff(at) - n + 1, 0)
