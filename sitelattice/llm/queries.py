@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelattice.llm import decontaminate, exact_dedup, language_id, language_model, minhash, mixing, quality, sharding, toxicity
+from sitelattice.llm import decontaminate, exact_dedup, language_id, language_model, minhash, mixing, quality, sharding, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": sharding.op3,
         "op4_quality": quality.op4,
         "op5_mixing": mixing.op5,
+        "op6_substrings": substrings.op6,
         "op7_minhash": minhash.op7,
         "op8_language_id": language_id.op8,
         "op9_exact_dedup": exact_dedup.op9,
