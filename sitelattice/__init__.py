@@ -1,0 +1 @@
+"""Site-media analytics on Spark: crawled pages to a clean, de-duplicated inventory of media assets."""
