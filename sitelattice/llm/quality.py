@@ -155,14 +155,15 @@ def score(docs: DataFrame, model: dict, keep: list[str], name: str = "score") ->
     """Columns ``keep`` of ``docs`` with column ``name``, the score (0 to 1, higher is better) of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = [f"_k{i}" for i in range(len(keep))]
-    chosen = docs.select(*(F.col(c).alias(i) for c, i in zip(keep, inner)), F.col("text").alias("text"))
+    text = inner[keep.index("text")] if "text" in keep else "_text"
+    chosen = docs.select(*(F.col(c).alias(i) for c, i in zip(keep, inner)), *([] if "text" in keep else [F.col("text").alias(text)]))
     schema = chosen.select(*inner).schema.add("_score", "double")
 
     def task(batches):
         m = shared.value
         for batch in batches:
-            for rows in textvec.slices(batch, "text"):
-                ids, first = features(rows.column("text"))
+            for rows in textvec.slices(batch, text):
+                ids, first = features(rows.column(text))
                 p = sigmoid(m["slope"] * margins(ids, first, m["ratio"], m["weight"], m["intercept"]) + m["offset"])
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in inner), pa.array(p)], [*inner, "_score"])
 
