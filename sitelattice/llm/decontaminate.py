@@ -37,9 +37,9 @@ from sitelattice.llm.runtime import Scratch, table
 HALF = 16
 BITS = 14
 RANK, EXTRA = 64, 8
-COSINE = 0.3
-#: Share of a passage's rare words (by hash) that a candidate must have.
-RARE_SHARE = 0.3
+COSINE = 0.2
+#: Share of a passage's rare words (by hash) that a candidate must have; of all its words, if it has few rare ones.
+RARE_SHARE, SHARE, FEW = 0.3, 0.45, 4
 #: A word is rare if at most this share of the passages have it.
 RARE = 0.01
 #: Share of an item's words in common order from which a passage is a copy; the same where the answer is there too.
@@ -146,14 +146,15 @@ def fit(docs: DataFrame) -> dict:
 
 
 def _passages(words: textvec.Words, model: dict) -> dict:
-    """Unit latent vectors, marks of rare words and first words of all passages."""
+    """Unit latent vectors, marks of rare words, then of all words, and first words of all passages."""
     start, doc = _halves(words)
     n = len(doc)
     feature = _feature(words)
     latent = np.add.reduceat(model["folding"][feature], start[:-1], axis=0)
     owner, rare = np.repeat(np.arange(n), np.diff(start)), model["rare"][feature]
-    marks = np.zeros((n, _MARKS), bool)
-    marks[owner[rare], (words.hash[rare] >> np.uint64(40)).astype(np.int64) % _MARKS] = True
+    marks, bit = np.zeros((n, 2 * _MARKS), bool), (words.hash >> np.uint64(40)).astype(np.int64) % _MARKS
+    marks[owner[rare], bit[rare]] = True
+    marks[owner, bit + _MARKS] = True
     marks = np.packbits(marks, axis=1).view(np.uint64)
     with_next = np.flatnonzero(np.append(doc[1:] == doc[:-1], False))
     latent_, marks_ = latent.copy(), marks.copy()
@@ -205,7 +206,9 @@ def search(docs: DataFrame, items: list[tuple[int, str]], model: dict) -> DataFr
         ids, texts, query, model = shared.value
         if query is None:
             return
-        need = np.maximum(np.ceil(RARE_SHARE * np.bitwise_count(query["marks"]).sum(1)), 1)
+        parts = (slice(0, _MARKS // 64), slice(_MARKS // 64, None))
+        rare, every = (np.bitwise_count(query["marks"][:, part]).sum(1) for part in parts)
+        need_rare, need_every = np.where(rare >= FEW, np.ceil(RARE_SHARE * rare), 0), np.where(rare >= FEW, 0, np.ceil(SHARE * every))
         for batch in batches:
             for rows in textvec.slices(batch, "text"):
                 words = textvec.plain_words(rows.column("text"))
@@ -215,9 +218,10 @@ def search(docs: DataFrame, items: list[tuple[int, str]], model: dict) -> DataFr
                 for at in range(0, len(own["doc"]), 4096):
                     cosine = own["latent"][at : at + 4096] @ query["latent"].T
                     p, q = np.nonzero(cosine >= COSINE)
-                    both = np.bitwise_count(own["marks"][at + p] & query["marks"][q]).sum(1)
-                    ok = both >= need[q]
-                    for p_, q_ in zip((at + p[ok]).tolist(), q[ok].tolist()):
+                    for part, need in zip(parts, (need_rare, need_every)):
+                        both = np.bitwise_count(own["marks"][at + p, part] & query["marks"][q, part]).sum(1)
+                        p, q = p[both >= need[q]], q[both >= need[q]]
+                    for p_, q_ in zip((at + p).tolist(), q.tolist()):
                         key = (int(own["doc"][p_]), int(query["doc"][q_]))
                         found.setdefault(key, []).append((float(cosine[p_ - at, q_]), int(own["start"][p_])))
                 out = []
