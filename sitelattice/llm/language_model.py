@@ -38,6 +38,8 @@ BOS = HEAD + TAILS  # only as context
 DIM, ROUNDS, EVERY, BATCH, NOISE, RATE = 48, 3, 8, 512, 96, 0.1
 FREQUENT = 500_000
 ALPHA = 0.1
+#: Pieces that the parameters are averaged in.
+PIECES = 64
 #: Distinct words that a task holds before it hands its counts on.
 HOLD = 1_000_000
 
@@ -186,6 +188,11 @@ def _train_round(train: DataFrame, model: LogBilinear, head: np.ndarray, turn: i
     """One pass: every task's own steps from the model's parameters, then their weighted mean."""
     given = train.sparkSession.sparkContext.broadcast((model, head))
 
+    def rows_of(parts):
+        name, piece = zip(*parts)
+        seen, part = zip(*parts.values())
+        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(piece, pa.int32()), pa.array(seen), pa.array([p.tobytes() for p in part], pa.binary())], ["name", "piece", "seen", "part"])
+
     def task(batches):
         model, head = given.value
         model.reset()
@@ -204,23 +211,24 @@ def _train_round(train: DataFrame, model: LogBilinear, head: np.ndarray, turn: i
                 seen += len(chosen)
         if seen:
             for name in model.NAMES:
-                part = getattr(model, name).astype(np.float64).ravel() * seen
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([seen]), pa.array([part.tobytes()], pa.binary())], ["name", "seen", "part"])
+                pieces = np.array_split(getattr(model, name).astype(np.float64).ravel() * seen, PIECES)
+                yield rows_of({(name, k): (seen, piece) for k, piece in enumerate(pieces)})
 
     def add(batches):
         total = {}
         for batch in batches:
-            for name, seen, cell in zip(*(batch.column(c).to_pylist() for c in ("name", "seen", "part"))):
-                n, value = total.get(name, (0, 0.0))
-                total[name] = n + seen, value + np.frombuffer(cell)
-        for name, (n, value) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([value.tobytes()], pa.binary())], ["name", "seen", "part"])
-
-    schema = "name string, seen long, part binary"
-    parts = train.select("text").mapInArrow(task, schema).repartition(len(model.NAMES), "name").mapInArrow(add, schema)
-    for row in parts.collect():  # as many rows as there are kinds of parameters
-        before = getattr(model, row.name)
-        setattr(model, row.name, (np.frombuffer(row.part) / row.seen).reshape(before.shape).astype(np.float32))
+            for name, piece, seen, cell in zip(*(batch.column(c).to_pylist() for c in ("name", "piece", "seen", "part"))):
+                n, value = total.get((name, piece), (0, 0.0))
+                total[name, piece] = n + seen, value + np.frombuffer(cell)
+        if total:
+            yield rows_of(total)
+
+    schema = "name string, piece int, seen long, part binary"
+    parts = train.select("text").mapInArrow(task, schema).repartition(PIECES, "piece").mapInArrow(add, schema)
+    found = sorted(parts.collect(), key=lambda r: r.piece)  # PIECES rows for each kind of parameters
+    for name in {r.name for r in found}:
+        mean = np.concatenate([np.frombuffer(r.part) / r.seen for r in found if r.name == name])
+        setattr(model, name, mean.reshape(getattr(model, name).shape).astype(np.float32))
 
 
 def fit(train: DataFrame, scratch: Scratch) -> dict:
