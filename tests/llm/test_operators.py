@@ -1,0 +1,470 @@
+"""Each training-data operator against a plain version, and on the odd cases that it defines."""
+
+import hashlib
+import itertools
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sitelattice.llm import decontaminate, exact_dedup, language_id, language_model, minhash, mixing, quality, sharding, substrings, textvec, toxicity
+from sitelattice.llm.runtime import Scratch, components
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string"
+
+
+def words_of(text):
+    return (text or "").encode().lower().split()
+
+
+def text_of(rng, n, vocabulary=2000):
+    return " ".join(f"w{int(rng.paretovariate(0.6)) % vocabulary}x" for _ in range(n))
+
+
+def prose(rng, n):
+    """Text with some forty per cent of function words, the others from a large vocabulary."""
+    return " ".join(f"f{int(rng.paretovariate(1)) % 60}" if rng.random() < 0.4 else f"content{rng.randrange(30_000)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, blanks, one word, a very long text, repeats, ties, and extra columns with clashing names."""
+    rng = random.Random(9)
+    same = text_of(rng, 80)
+    texts = [None, "", " \t\n", "word", "Word", same, same, same.upper(), text_of(rng, 60_000), "é ß 漢字 😀", "!!! ???", same + " tail"] + [text_of(rng, 40) for _ in range(12)]
+    rows = [(i, t, None if i % 5 == 0 else "en", None if i % 7 == 0 else f"src{i % 3}", 0.5, 1, "x", i) for i, t in enumerate(texts)]
+    rows += [(None, same, "en", "src1", 0.5, 1, "x", 0), (3, "word", "en", "src0", 0.5, 1, "x", 3)]
+    return spark.createDataFrame(rows, DOCS + ", score double, label int, key string, rep long")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_words_and_grams():
+    found = textvec.words(pa.array(["Ab c\x0bd", None, "", "x", "É\xa0a b", "a" * 23 + " " + "a" * 24]))
+    assert [found.word(i) for i in range(len(found.start))] == [b"ab", b"c", b"d", b"x", "É\xa0a".encode(), b"b", b"a" * 23, b"a" * 24]
+    assert found.first.tolist() == [0, 3, 3, 3, 4, 6, 8]
+    assert len(set(found.hash.tolist())) == 8
+    _, start = found.grams(2)
+    assert start.tolist() == [0, 1, 4, 6]
+    value, first = textvec.char_grams(np.frombuffer(b"abcabc", np.uint8), np.array([0, 3, 6]), 3)
+    assert first.tolist() == [0, 1, 2] and value[0] == value[1]
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1040)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in list(root) if find(x) != x}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    assert {r.node: r.component for r in components(frame, Scratch(spark, "test")).collect()} == want
+    assert components(frame.where("a < 0"), Scratch(spark, "test")).count() == 0
+
+
+# ---- classifiers ----
+
+
+@pytest.mark.parametrize("operator, target, least", [(quality.op4, "quality", 0.9), (toxicity.op1, "toxic", 0.8)])
+def test_classifiers_on_held_out_rows(spark, operator, target, least):
+    sf = "/root/testdata/sf0.01"
+    rows = operator(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("score", F.col(target).alias("y")).collect()
+    good, bad = [r.score for r in rows if r.y == 1], [r.score for r in rows if r.y == 0]
+    assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad)) >= least
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+@pytest.mark.parametrize("module, target", [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_on_odd_rows(spark, odd, empty, module, target):
+    none = spark.createDataFrame([], f"doc_id long, {target} int")
+    assert {r.score for r in module.classify(odd, none, ["doc_id"]).collect()} == {0.5}
+    one_class = spark.createDataFrame([(i, 1) for i in range(20)], f"doc_id long, {target} int")
+    assert min(r.score for r in module.classify(odd, one_class, ["doc_id"]).collect()) > 0.8
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)] + [(None, 1), (2, 7)], f"doc_id long, {target} int")
+    got = module.classify(odd, labels, ["doc_id", "label"])
+    assert got.count() == odd.count() and got.columns == ["doc_id", "label", "score"]
+    assert module.classify(empty, labels, ["doc_id"]).count() == 0
+
+
+def test_quality_stage_keeps_columns(spark, odd):
+    got = quality.stage(spark, odd, SF)
+    assert got.columns == odd.columns and got.count() <= odd.count()
+
+
+def test_dual_coordinate_descent_meets_its_optimum():
+    rng = np.random.default_rng(0)
+    ids = np.concatenate([np.sort(rng.choice(50, 8, False)) for _ in range(60)]).astype(np.int32)
+    first, y = np.arange(0, 481, 8), np.where(rng.random(60) < 0.5, 1, -1)
+    ratio = np.zeros(quality.SIZE)
+    ratio[:50] = rng.normal(size=50)
+    weight, intercept = quality.dual_coordinate_descent(ids, first, y, ratio, np.arange(60), epochs=500, tolerance=1e-9)
+    x = np.zeros((60, 51))
+    for i in range(60):
+        x[i, ids[first[i] : first[i + 1]]] = ratio[ids[first[i] : first[i + 1]]]
+        x[i] /= np.linalg.norm(x[i])
+        x[i, 50] = 1
+    w = np.append(weight[:50], intercept)
+    loss = lambda v: v @ v / 2 + np.maximum(1 - y * (x @ v), 0).sum()
+    assert all(loss(w) <= loss(w + rng.normal(size=51) * s) + 1e-6 for s in (1e-3, 1e-2, 0.1) for _ in range(200))
+
+
+def test_isotonic_is_monotone():
+    rng = np.random.default_rng(1)
+    at, value = toxicity.isotonic(rng.normal(size=300), (rng.random(300) < 0.4).astype(float))
+    assert (np.diff(value) >= 0).all() and (np.diff(at) >= 0).all()
+
+
+def test_toxicity_sees_through_look_alikes(spark):
+    base = toxicity.hashes_of(toxicity.LEXICON)
+    none = np.zeros(0, np.uint64)
+    x, _ = toxicity.features(pa.array(["you st*pid 1d10t", "a fine day", "You are an idiot!"]), base, none, none, toxicity.hashes_of(toxicity.SECOND_PERSON))
+    assert x[0, 4] > 0 and x[1, :8].sum() == 0 and x[2, 0] > 0 and x[2, 6] > 0
+
+
+# ---- language ----
+
+
+def test_language_against_plain_counts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = {r.doc_id: r for r in language_id.op8(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(out) == len(rows)
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(out[r.doc_id].lang_pred == r.lang for r in held) / len(held) > 0.95
+    assert all(out[r.doc_id].held_out for r in held)
+    counts = defaultdict(Counter)
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            data = r.text.encode().lower().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     "))
+            counts[r.lang].update(data[i : i + 2] for i in range(len(data) - 1))
+    found = language_id.count_ngrams(docs.where(~F.col("doc_id").isin([r.doc_id for r in held])), (2,), 15)
+    assert {r.lang: r.n for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()} == {k: sum(c.values()) for k, c in counts.items()}
+
+
+def test_language_on_odd_rows(spark, odd, empty):
+    got = {r.doc_id: r for r in language_id.identify(odd, odd, ["doc_id", "rep"]).collect()}
+    assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (0, 1, 2, 10))
+    assert got[5].lang_pred == "en" and 0 < got[5].score <= 1
+    assert {r.lang_pred for r in language_id.identify(odd, empty, ["doc_id"]).collect()} == {"und"}
+    assert language_id.identify(empty, odd, ["doc_id"]).count() == 0
+
+
+# ---- decontamination ----
+
+
+def test_decontamination_against_containment(spark):
+    docs, items = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    plain = lambda t: b" ".join((t or "").encode().lower().translate(None, bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])).split())
+    texts = {r.item_id: plain(r.text) for r in items.collect()}
+    want = {(d.doc_id, i) for d in docs.collect() for i, t in texts.items() if b" " + t + b" " in b" " + plain(d.text) + b" "}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert want and want <= got and len(got - want) <= 1
+
+
+def test_paraphrases_are_found_and_clean_texts_left_alone(spark):
+    rng = random.Random(12)
+    items = [(i, prose(rng, 40)) for i in range(20)]
+    rows, planted = [], set()
+    for d in range(150):
+        words = prose(rng, 200).split()
+        if d % 10 == 0:
+            copy = items[d // 10][1].split()
+            for k in range(0, 40, 8):
+                copy[k] = "changed"
+            words[60:60] = [w.upper() + "," for w in copy]
+            planted.add(d)
+        rows.append((d, " ".join(words)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert {r.doc_id for r in got} == planted
+    assert all(abs(r.start_word - 60) <= 15 for r in got)
+
+
+def test_decontamination_on_odd_rows(spark, odd, empty):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "word"), (4, "never seen before here")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, items).collect()}
+    assert {(3, 3), (4, 3)} <= got and all(i == 3 for _, i in got)
+    assert decontaminate.contaminated(empty, items).count() == 0
+    assert decontaminate.contaminated(odd, items.where("item_id < 0")).count() == 0
+
+
+def test_common_subsequence():
+    rng = random.Random(2)
+    for _ in range(60):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 30))] for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(len(b) + 1), lambda best, j, row=row, x=x: max(best, row[j], row[j - 1] + 1 if b[j - 1] == x else 0) if j else 0))
+        assert decontaminate.common_subsequence(np.array(a), np.array(b)) == row[-1]
+
+
+# ---- sharding ----
+
+
+def check_shards(rows, shards=8):
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    for part in by.values():
+        assert sorted(r.slot for r in part) == list(range(len(part)))
+    return [sum(r.size for r in by[s]) for s in range(shards)]
+
+
+def test_sharding_law(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sharding.shard(docs).collect()
+    load = check_shards(rows)
+    assert len(rows) == docs.count() and max(load) - min(load) <= 0.01 * sum(load) / 8
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r.doc_id]].add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
+
+
+def test_sharding_with_a_hot_text(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text for a third of the rows").otherwise(F.concat(F.lit("text number "), F.col("id").cast("string"), F.lit(" and more of it"))).alias("text"))
+    load = check_shards(sharding.shard(docs).collect())
+    assert max(load) - min(load) <= 0.02 * sum(load) / 8
+
+
+def test_sharding_versions_and_odd_rows(spark, odd, empty):
+    path = Scratch(spark, "map").path("map")
+    rows = sharding.shard(odd, shards=3, map_path=path).collect()
+    check_shards(rows, 3)
+    assert len(rows) == odd.count() and {r.size for r in rows if r.doc_id in (0, 1)} == {1}
+    first, second = sharding.load_map(spark, path, 0), sharding.load_map(spark, path, 1)
+    assert first.count() == second.count() and first.join(second, ["vslot", "sub"]).count() == first.count()
+    assert sharding.shard(empty).count() == 0
+
+
+# ---- mixing ----
+
+
+def test_budgets_by_hand(spark):
+    leaves = spark.createDataFrame([("d", "en", "a", 10, 1), ("d", "en", "b", 1000, 1), ("d", "fr", "c", 20, 1), ("e", "en", "f", 5000, 1)], "domain string, lang string, source string, tokens long, rows long")
+    even = {k: F.lit(1.0) for k in mixing.LEVELS}
+    got = {r.source: r.budget for r in mixing.budgets(leaves, F.lit(800), even, 1).collect()}
+    assert got == {"a": 10, "b": 370, "c": 20, "f": 400}  # a's and c's shortages stay in their domain
+    got = {r.source: r.budget for r in mixing.budgets(leaves, F.lit(4000), even, 1).collect()}
+    assert got == {"a": 10, "b": 1000, "c": 20, "f": 2970}  # only then does the other domain get them
+
+
+def test_mixing_prefix_on_odd_rows(spark, odd, empty):
+    rows = mixing.mix(odd, ["doc_id", "rep"], part=0.5, max_epochs=3).collect()
+    assert len(rows) == odd.count()
+    used, budget = Counter(), {}
+    tokens = {r.doc_id: len(words_of(r.text)) for r in odd.collect()}
+    for r in rows:
+        used[tuple(r._leaf)] += r._copies * tokens[r.doc_id]
+        budget[tuple(r._leaf)] = r._budget
+    assert all(used[leaf] <= budget[leaf] for leaf in budget)
+    assert mixing.mix(empty, ["doc_id"]).count() == 0
+    assert mixing.stage(spark, odd, SF).columns == odd.columns
+
+
+# ---- exact duplicates ----
+
+
+def plain_groups(rows):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r.text or ""].append(r.doc_id)
+    return {t: (max((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups.items()}
+
+
+@pytest.mark.parametrize("digest", ["sha256", "weak"])
+def test_exact_dedup(spark, odd, tmp_path, digest):
+    odd.repartition(5).write.parquet(str(tmp_path / "t"))
+    weak = lambda text: F.unhex(F.lpad(F.hex(F.length(text) % 3), 2, "0"))  # noqa: E731  digests that clash
+    rows = exact_dedup.dedup(spark, str(tmp_path / "t"), exact_dedup.sha256 if digest == "sha256" else weak, files_per_batch=2).collect()
+    groups, texts = plain_groups(odd.collect()), defaultdict(set)
+    for r in odd.collect():
+        texts[r.doc_id].add(r.text or "")
+    assert len(rows) == odd.count()
+    for r in rows:
+        (text,) = texts[r.doc_id] if len(texts[r.doc_id]) == 1 else [t for t in texts[r.doc_id] if hashlib.sha256(t.encode()).hexdigest() == r.text_sha256]
+        assert (r.keep_id, r.group_size) == groups[text] and r.text_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    kept = [r for r in rows if r.kept]
+    assert len(kept) == len(groups)
+
+
+def test_exact_dedup_of_nothing(spark, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "t"))
+    assert exact_dedup.dedup(spark, str(tmp_path / "t")).count() == 0
+
+
+# ---- near duplicates ----
+
+
+def plain_components(rows, n=2, percent=80):
+    sets = {}
+    for r in rows:
+        w = words_of(r.text)
+        sets[r.doc_id] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def families(seed, n_families, copies, edits):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n_families):
+        base = text_of(rng, 120, 50_000).split()
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(rng.randrange(edits)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("copies, edits, cell", [(4, 12, 2048), (60, 16, 2048), (60, 16, 10)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, copies, edits, cell):
+    """Families whose members are linked only in part; small cells exercise the blocks and the dense path."""
+    monkeypatch.setattr(minhash, "CELL", cell)
+    docs = spark.createDataFrame(families(copies, 120 // copies, copies, edits), "doc_id long, text string")
+    want = plain_components(docs.collect())
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == want
+
+
+def test_near_duplicates_on_odd_rows(spark, odd, empty):
+    rows = minhash.near_duplicates(odd).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == odd.count()
+    assert all(got[i].n_shingles == 0 and got[i].component_id == i and got[i].kept for i in (0, 1, 2))
+    assert got[3].component_id == got[4].component_id == 3 and got[3].n_shingles == 1
+    assert {got[i].component_id for i in (5, 6, 7, 11)} == {5}
+    assert got[None].component_id is None and got[None].kept
+    assert minhash.near_duplicates(empty).count() == 0
+    assert minhash.stage(spark, odd, SF).columns == odd.columns
+
+
+# ---- repeated passages ----
+
+
+def test_repeated_passages(spark):
+    rng = random.Random(6)
+    passage, fuzzy = text_of(rng, 60, 10**6).split(), text_of(rng, 90, 10**6).split()
+    rows, exact, near = [], {}, {}
+    for d in range(60):
+        words = text_of(rng, 150, 10**6).split()
+        if d % 6 == 0:
+            exact[d] = at = rng.randrange(100)
+            words[at:at] = passage
+        elif d % 6 == 1:
+            near[d] = at = rng.randrange(100)
+            words[at:at] = [w if rng.random() > 0.05 else "edit" for w in fuzzy]
+        rows.append((d, " ".join(words)))
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(exact) | set(near) - {0, 1} - {min(exact), min(near)} | (set(exact) - {min(exact)})
+    for r in got:
+        at, size = (exact[r.doc_id], 60) if r.doc_id in exact else (near[r.doc_id], 90)
+        assert abs(r.start_word - at) <= 12 and abs(r.end_word - at - size) <= 12
+
+
+def test_chain_against_all_predecessors():
+    rng = random.Random(8)
+    for _ in range(30):
+        n = rng.randrange(2, 40)
+        x, y = (np.array(rng.sample(range(200), n)) for _ in "xy")
+        best = {}
+        for i in np.argsort(x):
+            best[i] = 6 + max([0.0, *(best[j] - 0.1 * (x[i] - x[j] + y[i] - y[j]) for j in best if x[j] < x[i] and y[j] < y[i])])
+        found = substrings.chain(x, y)
+        assert math.isclose(found[0][0], max(best.values()), abs_tol=1e-9)
+        for _, path in found:
+            assert (np.diff(x[path]) > 0).all() and (np.diff(y[path]) > 0).all()
+        assert sorted(i for _, p in found for i in p) == list(range(n))
+
+
+def test_repeats_on_odd_rows(spark, odd, empty):
+    got = substrings.repeats(odd).collect()
+    assert {r.doc_id for r in got} == {6, 7, 11} and {r.other_id for r in got} == {5}
+    assert substrings.repeats(empty).count() == 0
+
+
+# ---- language model ----
+
+
+def test_language_model_counts_and_gain(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r.doc_id: r for r in language_model.op10(spark, SF).collect()}
+    tokens = {r.doc_id: [*words_of(r.text), None] for r in rows}
+    train = Counter(t for i, ts in tokens.items() if zlib.crc32(str(i).encode()) % 10 for t in ts)
+    total, distinct = sum(train.values()), len(train)
+    for i, ts in tokens.items():
+        base = sum(math.log10((train[t] + 0.1) / (total + 0.1 * (distinct + 1))) for t in ts)
+        assert math.isclose(got[i].base_score, base, rel_tol=1e-9)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ts), sum(train[t] > 0 for t in ts), total)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_language_model_is_normalised():
+    rng = np.random.default_rng(3)
+    share = rng.random(language_model.BOS)
+    model = language_model.LogBilinear(share / share.sum())
+    for _ in range(20):
+        model.step(*(rng.integers(0, language_model.BOS, 64) for _ in range(3)), rng.integers(0, language_model.BOS, language_model.NOISE))
+    score, norm = model.tables()
+    for one, two in ((0, 5), (language_model.BOS, language_model.BOS), (17, language_model.BOS)):
+        assert math.isclose((10.0 ** (score[0, one].astype(float) + score[1, two] - norm[one, two])).sum(), 1, rel_tol=1e-3)
+
+
+def test_language_model_on_odd_rows(spark, odd, empty):
+    scratch = Scratch(spark, "test")
+    rows = language_model.score(odd, language_model.fit(odd, scratch), scratch, ["doc_id", "score"]).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == odd.count() and all(got[i].n_tokens == 1 for i in (0, 1, 2)) and all(math.isfinite(r[-1]) for r in rows)
+    blank = language_model.score(odd, language_model.fit(empty, scratch), scratch, ["doc_id"]).collect()
+    assert {(r.n_known, r.train_tokens) for r in blank} == {(0, 0)}
+    assert language_model.score(empty, language_model.fit(odd, scratch), scratch, ["doc_id"]).count() == 0
+
+
+# ---- the pipeline ----
+
+
+def test_pipeline(spark):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = corpus_pipeline.run(spark, SF).collect()
+    ids = [r.doc_id for r in rows]
+    assert 0 < len(ids) == len(set(ids)) < docs.count()
+    check_shards(rows)
+    leaks = {r.doc_id for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert not leaks & set(ids)
+    kept = docs.where(F.col("doc_id").isin(ids)).collect()
+    assert all(c == i for i, (_, c) in plain_components(kept, n=5).items())
