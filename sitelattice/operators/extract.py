@@ -62,12 +62,10 @@ def page_assets(pages: DataFrame, scan_cdn: bool = False, keep: tuple[str, ...]
     raw = raw_candidates(F.col("html"), scan_cdn)
     if "asset_candidates" in pages.columns:
         raw = F.concat(raw, F.coalesce("asset_candidates", F.array().cast("array<string>")))
-    raw = pages.select("url", *keep, F.explode(F.concat(
-        F.transform(F.array_distinct(raw), lambda v: F.struct(v.alias("value"), F.lit(False).alias("final"))),
-        F.transform(sanity_urls(F.col("html")), lambda v: F.struct(v.alias("value"), F.lit(True).alias("final"))),
-    )).alias("c"))
-    found = raw.select("url", *keep, F.when(F.col("c.final"), F.col("c.value")).otherwise(urls.normalize(F.col("c.value"), F.col("url"))).alias("asset_url"))
-    return found.where("asset_url IS NOT NULL").distinct()
+    # normalised inside the array: a filter on the exploded column would evaluate it twice
+    normal = F.transform(F.array_distinct(raw), lambda v: urls.normalize(v, F.col("url")))
+    found = F.array_distinct(F.filter(F.concat(normal, sanity_urls(F.col("html"))), lambda u: u.isNotNull()))
+    return pages.select("url", *keep, F.explode(found).alias("asset_url")).distinct()
 
 
 def page_links(pages: DataFrame, site: str = "site_url", strict_origin: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -75,8 +73,8 @@ def page_links(pages: DataFrame, site: str = "site_url", strict_origin: bool = F
     raw = attribute_values(F.col("html"), "href")
     if "link_candidates" in pages.columns:
         raw = F.concat(F.coalesce("link_candidates", F.array().cast("array<string>")), raw)
-    rows = pages.select("url", site, *keep, F.posexplode(raw).alias("pos", "raw"))
-    rows = rows.select("url", *keep, "pos", urls.internal_link(F.col("raw"), F.col(site), F.col(site), strict_origin).alias("link")).where("link IS NOT NULL")
+    links = F.transform(raw, lambda v, i: F.struct(i.alias("pos"), urls.internal_link(v, F.col(site), F.col(site), strict_origin).alias("link")))
+    rows = pages.select("url", *keep, F.explode(F.filter(links, lambda x: x["link"].isNotNull())).alias("x")).select("url", *keep, "x.*")
     return rows.groupBy("url", *keep, "link").agg(F.min("pos").alias("pos"))
 
 
