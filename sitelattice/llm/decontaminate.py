@@ -4,10 +4,12 @@ Passages are windows of ``2 * HALF`` words, starting every ``HALF`` words, over
 every whole document.  Three passes read the documents; none shuffles a text.
 
 1. Document frequencies of hashed words, over all passages.
-2. A randomised SVD of the passages' TF-IDF matrix A: each task adds up its rows'
-   part of A'(A omega) for a random omega of ``RANK + EXTRA`` columns; the parts
-   are summed by blocks of features, and the Nystroem formula turns the sum, of
-   fixed size, into the leading right singular vectors and values.
+2. A randomised SVD of the TF-IDF matrix A of passages.  The index is fitted on the
+   passages of at most about ``SAMPLE_DOCS`` documents, chosen by a hash; it is
+   then applied to every passage.  Each task adds up its rows' part of A'(A omega)
+   for a random omega of ``RANK + EXTRA`` columns; the parts are summed by blocks
+   of features, and the Nystroem formula turns the sum, of fixed size, into the
+   leading right singular vectors and values.
 3. Each passage is folded into the latent space and compared with the benchmark's
    passages by cosine, as one matrix product for a slice of text.  Candidates that
    share too few rare words are dropped; for the others the longest common
@@ -37,7 +39,7 @@ from sitelattice.llm.runtime import Scratch, table
 HALF = 16
 BITS = 14
 RANK, EXTRA = 64, 8
-COSINE = 0.2
+COSINE = 0.25
 #: Share of a passage's rare words (by hash) that a candidate must have; of all its words, if it has few rare ones.
 RARE_SHARE, SHARE, FEW = 0.3, 0.45, 4
 #: A word is rare if at most this share of the passages have it.
@@ -47,6 +49,8 @@ COPY, PARAPHRASE, ANSWER = 0.75, 0.6, 0.7
 EXACT_BELOW = 6
 BLOCK_ITEMS = 4096
 BLOCKS = 64
+#: Documents that the latent space is fitted on, about.
+SAMPLE_DOCS = 20_000
 _MARKS = 512
 
 
@@ -58,6 +62,17 @@ def _halves(words: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.append(start, len(words.start)), doc
 
 
+def _sums(table: np.ndarray, feature: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each half window the sum of its words' rows of a table."""
+    table = np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])  # for places behind a short half's end
+    place = start[:-1, None] + np.arange(HALF)
+    row = np.where(place < start[1:, None], feature[np.minimum(place, len(feature) - 1)], len(table) - 1)
+    out = table[row[:, 0]]
+    for k in range(1, HALF):
+        out += table[row[:, k]]
+    return out
+
+
 def _feature(words: textvec.Words) -> np.ndarray:
     return (words.hash & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
@@ -112,7 +127,7 @@ def fit_space(docs: DataFrame, idf: np.ndarray, seed: int = 2011) -> tuple[np.nd
                 feature, (start, _) = _feature(words), _halves(words)
                 owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
                 norm = np.sqrt(np.bincount(owner, idf[feature] ** 2))
-                image = np.add.reduceat(weighted[feature], start[:-1], axis=0) / np.maximum(norm, 1e-6)[:, None] ** 2
+                image = _sums(weighted, feature, start) / np.maximum(norm, 1e-6)[:, None] ** 2
                 order = np.argsort(feature, kind="stable")
                 at = np.flatnonzero(np.diff(feature[order], prepend=-1))
                 total[feature[order][at]] += np.add.reduceat(image[owner[order]].astype(np.float32), at, axis=0)
@@ -121,7 +136,9 @@ def fit_space(docs: DataFrame, idf: np.ndarray, seed: int = 2011) -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "part"])
 
     schema = "block int, part binary"
-    summed = docs.select("text").mapInArrow(task, schema).repartition(BLOCKS, "block").mapInArrow(_rows_of, schema).toArrow().sort_by("block")
+    share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    summed = sample.select("text").mapInArrow(task, schema).repartition(BLOCKS, "block").mapInArrow(_rows_of, schema).toArrow().sort_by("block")
     image = np.zeros((BLOCKS, (1 << BITS) // BLOCKS * (RANK + EXTRA)))
     for block, part in zip(summed["block"].to_pylist(), summed["part"].to_pylist()):
         image[block] = np.frombuffer(part)
@@ -150,7 +167,7 @@ def _passages(words: textvec.Words, model: dict) -> dict:
     start, doc = _halves(words)
     n = len(doc)
     feature = _feature(words)
-    latent = np.add.reduceat(model["folding"][feature], start[:-1], axis=0)
+    latent = _sums(model["folding"], feature, start)
     owner, rare = np.repeat(np.arange(n), np.diff(start)), model["rare"][feature]
     marks, bit = np.zeros((n, 2 * _MARKS), bool), (words.hash >> np.uint64(40)).astype(np.int64) % _MARKS
     marks[owner[rare], bit[rare]] = True
@@ -199,13 +216,19 @@ def search(docs: DataFrame, items: list[tuple[int, str]], model: dict) -> DataFr
     """(doc_id, item_id, cosine, lcs, coverage, answer_coverage, start_word, end_word) of contaminated passages, best first for each pair."""
     words = textvec.plain_words(pa.array([t for _, t in items], pa.string()))
     texts = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
-    query = _passages(words, model) if len(words.start) else None
+    parts, owner = [], []  # an item's passages: side by side, the last one up to its end
+    for item, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
+        for start in sorted({*range(a, max(b - 2 * HALF, a), 2 * HALF), max(b - 2 * HALF, a)}) if b > a else ():
+            parts.append(b" ".join(words.word(i) for i in range(start, min(start + 2 * HALF, b))))
+            owner.append(item)
+    query = _passages(textvec.words(pa.array(parts, pa.binary())), model) | {"item": np.array(owner)} if parts else None
     shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in items], texts, query, model))
 
     def task(batches):
         ids, texts, query, model = shared.value
         if query is None:
             return
+        theirs = np.ascontiguousarray(query["marks"].T)
         parts = (slice(0, _MARKS // 64), slice(_MARKS // 64, None))
         rare, every = (np.bitwise_count(query["marks"][:, part]).sum(1) for part in parts)
         need_rare, need_every = np.where(rare >= FEW, np.ceil(RARE_SHARE * rare), 0), np.where(rare >= FEW, 0, np.ceil(SHARE * every))
@@ -215,15 +238,20 @@ def search(docs: DataFrame, items: list[tuple[int, str]], model: dict) -> DataFr
                 if not len(words.start):
                     continue
                 found, own = {}, _passages(words, model)
+                mine = np.ascontiguousarray(own["marks"].T)
                 for at in range(0, len(own["doc"]), 4096):
-                    cosine = own["latent"][at : at + 4096] @ query["latent"].T
-                    p, q = np.nonzero(cosine >= COSINE)
-                    for part, need in zip(parts, (need_rare, need_every)):
-                        both = np.bitwise_count(own["marks"][at + p, part] & query["marks"][q, part]).sum(1)
-                        p, q = p[both >= need[q]], q[both >= need[q]]
-                    for p_, q_ in zip((at + p).tolist(), q.tolist()):
-                        key = (int(own["doc"][p_]), int(query["doc"][q_]))
-                        found.setdefault(key, []).append((float(cosine[p_ - at, q_]), int(own["start"][p_])))
+                    cosine = (own["latent"][at : at + 4096] @ query["latent"].T).ravel()
+                    near = np.flatnonzero(cosine >= COSINE)
+                    p, q = np.divmod(near, len(query["item"]))
+                    for columns, need in zip(parts, (need_rare, need_every)):
+                        asked = need[q]
+                        both = np.zeros(len(p), np.uint8)
+                        for c in range(*columns.indices(own["marks"].shape[1])) if asked.any() else ():
+                            both += np.bitwise_count(mine[c][at + p] & theirs[c][q])
+                        ok = both >= asked
+                        near, p, q = near[ok], p[ok], q[ok]
+                    for p_, q_, c in zip((at + p).tolist(), q.tolist(), cosine[near].tolist()):
+                        found.setdefault((int(own["doc"][p_]), int(query["item"][q_])), []).append((c, int(own["start"][p_])))
                 out = []
                 for (doc, item), places in found.items():
                     if best := _judge(texts[item], words.hash, words.first[doc], words.first[doc + 1], places):
