@@ -132,7 +132,7 @@ def fit_space(docs: DataFrame, idf: np.ndarray, seed: int = 2011) -> tuple[np.nd
                 at = np.flatnonzero(np.diff(feature[order], prepend=-1))
                 total[feature[order][at]] += np.add.reduceat(image[owner[order]].astype(np.float32), at, axis=0)
         total *= idf[:, None]
-        for k, part in enumerate(np.split(total, BLOCKS)):
+        for k, part in enumerate(np.split(total, BLOCKS)) if total.any() else ():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "part"])
 
     schema = "block int, part binary"
