@@ -9,8 +9,8 @@ Only map-side combined rows reach the state, so a group of copies of any size
 is no burden.  The state is read back as a table when the stream has caught up.
 
 On hits, that is for digests seen more than once, full bytes are checked: the
-texts are fetched through their locators and grouped by digest and whole text,
-again map-side combined.  Texts with equal digests but other bytes become
+rows of those digests are read again and grouped by digest and whole text, again
+map-side combined.  Texts with equal digests but other bytes become
 groups of their own.
 
 All of it is DataFrame and streaming functions, on the JVM.
@@ -85,7 +85,7 @@ def dedup(spark: SparkSession, path: str, digest=sha256, files_per_batch: int =
     state = run_stream(spark, path, scratch, digest, files_per_batch)
     rows = _located(spark.read.parquet(path), digest)
 
-    # full bytes of the hits: fetched by locator, grouped by the bytes themselves
+    # full bytes of the hits: read again, grouped by the bytes themselves
     hits = state.where("n > 1").select("digest")
     whole = scratch.keep(few_or_joined(rows, hits, ["digest"], hits.count()).groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "at")).alias("keep")).select("digest", F.xxhash64("text").alias("mark"), F.sha2("text", 256).alias("sha"), "n", "keep"), "checked")
     differ = whole.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
