@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+_own: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,8 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where that is unset (tests), a new temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        folder = _own.get(application) or _own.setdefault(application, f"file://{tempfile.mkdtemp(prefix='shared-')}")
     return folder.rstrip("/")
 
 
