@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -14,10 +15,7 @@ def _folder(spark) -> str:
     """The shared folder that the cluster names; a temporary one where there is none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
         folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/crawl-{uuid.uuid4().hex}"
 
 
