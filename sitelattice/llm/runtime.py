@@ -107,31 +107,62 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links as stars: every node but the smallest of its component here, and that smallest one."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        for end in (a, b):
+            np.minimum.at(after, root[end], low)
+            np.minimum.at(after, end, low)
+        after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    linked = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[linked], nodes[root[linked]]
+
+
+def _contract(batches):
+    """Edges (a, b) of a partition as stars."""
+    import pyarrow as pa
+
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in local_stars(*(np.concatenate(c) for c in zip(*held)))], ["a", "b"])
+
+
+def _is_stars(graph: DataFrame) -> bool:
+    """Whether every node has one link down or only links up."""
+    ends = graph.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("down")), F.struct(F.col("b").alias("v"), F.lit(0).alias("down")))).alias("e")).select("e.*")
+    wrong = ends.groupBy("v").agg(F.sum("down").alias("down"), F.min("down").alias("least")).where("down > 1 OR (down = 1 AND least = 0)")
+    return wrong.isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, component), component the smallest node.
 
-    Alternating large-star and small-star steps: each step joins a node's
-    neighbours to its smallest neighbour, found by an aggregate with map-side
-    combine, so that a node with very many links is never gathered in a task.
-    Every round is written to the shared folder and the one before deleted.
-    Nodes without links do not appear.
+    Each round first turns the links within every partition into stars, without
+    a shuffle; if the whole is not made of stars then, one large-star and one
+    small-star step join a node's neighbours to its smallest neighbour.  That is
+    found by an aggregate with map-side combine, so a node with very many links is
+    never gathered in a task.  Every round is written to the shared folder and
+    the one before deleted.  Nodes without links do not appear.
     """
-    graph = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    graph = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     for _ in range(rounds):
-        both = graph.select("a", "b").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        stars = scratch.keep(graph.mapInArrow(_contract, "a long, b long").distinct(), "stars")
+        scratch.drop(graph)
+        if _is_stars(stars):
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(graph.groupBy("a").agg(F.min("b").alias("b"))).where("a <> b").distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").select(F.explode(F.array("a", "b")).alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
-        after = scratch.keep(small, "edges")
-        scratch.drop(graph)
-        graph = after
-        state = tuple(graph.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components have not settled after {rounds} rounds")
-    return graph.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        large = large.union(stars.groupBy("a").agg(F.min("b").alias("b"))).where("a <> b")
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
+        graph = scratch.keep(small, "edges")
+        scratch.drop(stars)
+    raise RuntimeError(f"components have not settled after {rounds} rounds")
