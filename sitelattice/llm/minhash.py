@@ -4,13 +4,13 @@ Two small collections A and B of ``TUPLES`` tuples of ``WIDTH`` minhashes each
 are computed for a document.  The tables are all pairs (A_i, B_j): two documents
 are candidates if they agree in some A_i and in some B_j.  So 2 * 26 * 5 = 260
 minhashes make 26 * 26 tables of ten minhashes each.  Two sets of similarity s
-are missed with probability 1 - (1 - (1 - s**5)**26)**2: 7e-5 at 0.8, 2e-7 at 0.85.
+are missed with probability 1 - (1 - (1 - s**5)**26)**2: 7e-5 at 0.8, 5e-7 at 0.85.
 
 Nothing emits all pairs of a table.  Documents with one shingle set form a class
 first.  Then
 
-1. every class is compared with one pivot of each A-bucket it is in, the class
-   with the most copies;
+1. each A-bucket has a pivot, the class with the most copies; every class is
+   compared with the first-ranked pivot of the buckets it is in;
 2. linked classes become components by large-star / small-star rounds;
 3. only buckets that still hold several components go on: there all pairs across
    components that agree in some B_j are compared.  Buckets are cut into cells
@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from sitelattice.llm import textvec
 from sitelattice.llm.groups import whole_groups
-from sitelattice.llm.runtime import Scratch, components, few_or_joined, segment_sum, table
+from sitelattice.llm.runtime import Scratch, components, few_or_joined, local_stars, segment_sum, table
 
 TUPLES, WIDTH = 26, 5
 #: Members of a cell, and of the other side of a cell, at most.
 CELL = 2048
 #: Pairs for each member from which on a cell carries its full sets.
-DENSE = 16
+DENSE = 1
 
 _rng = np.random.default_rng(710)
 _XOR = _rng.integers(0, 1 << 32, 2 * TUPLES * WIDTH, dtype=np.uint32)
@@ -179,10 +179,10 @@ def _local_pairs(key, role, node, label, a, b, starts):
         todo_j.append(j + s)
         total += len(i)
         if total > 100_000:
-            yield None, tested(np.concatenate(todo_i), np.concatenate(todo_j))
+            yield tested(np.concatenate(todo_i), np.concatenate(todo_j))
             todo_i, todo_j, total = [], [], 0
     if total:
-        yield None, tested(np.concatenate(todo_i), np.concatenate(todo_j))
+        yield tested(np.concatenate(todo_i), np.concatenate(todo_j))
     for s, e in big:
         here = np.arange(s, e)
         ones = here if role[s] == 0 else here[role[s:e] == 2]
@@ -194,7 +194,7 @@ def _local_pairs(key, role, node, label, a, b, starts):
             if role[s]:  # both residual: once only
                 m = m[[node[x] > node[r] or node[x] not in foreign for x in m]] if foreign else m
             parts.append(tested(np.full(len(m), r), m))
-        yield (s, e), (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        yield np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -209,16 +209,19 @@ def _cells_task(batches, percent: int):
         a, b = _matrix(table_, "a"), _matrix(table_, "b")
         sets = table_.column("set").to_pylist() if "set" in table_.schema.names else None
         x, y, kind = [], [], []
-        for cell, (i, j) in _local_pairs(key, role, node, label, a, b, starts):
+        for i, j in _local_pairs(key, role, node, label, a, b, starts):
             if not len(i):
                 continue
             if sets is not None:
                 i, j = _confirmed(sets, i, j, percent)
-                x.append(node[i]), y.append(node[j]), kind.append(np.ones(len(i), np.int32))
-            elif cell and len(i) > DENSE * (cell[1] - cell[0]):
-                x.append(key[cell[0] : cell[0] + 1]), y.append(part[cell[0] : cell[0] + 1]), kind.append(np.full(1, 2, np.int32))
-            else:
-                x.append(node[i]), y.append(node[j]), kind.append(np.zeros(len(i), np.int32))
+                a_, b_ = local_stars(node[i], node[j])  # connects as much, in no more rows than members
+                x.append(a_), y.append(b_), kind.append(np.ones(len(a_), np.int32))
+                continue
+            owner = np.searchsorted(starts, i, "right") - 1
+            many = np.bincount(owner, minlength=len(starts) - 1) > DENSE * np.diff(starts)
+            few, full = ~many[owner], np.flatnonzero(many)
+            x.append(node[i[few]]), y.append(node[j[few]]), kind.append(np.zeros(few.sum(), np.int32))
+            x.append(key[starts[full]]), y.append(part[starts[full]]), kind.append(np.full(len(full), 2, np.int32))
         if x:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (x, y, kind)], ["x", "y", "kind"])
 
@@ -252,17 +255,18 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame
     classes = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles")
     classes = scratch.keep(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
     rows = classes.select("rep", "copies", F.explode("a").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", (-F.col("rep")).alias("rep"))).alias("pivot")).where("n > 1").select("key", "n", (-F.col("pivot.rep")).alias("pivot"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", (-F.col("rep")).alias("rep"))).alias("pivot")).where("n > 1").select("key", "n", "pivot.copies", (-F.col("pivot.rep")).alias("pivot"))
     members = scratch.keep(rows.select("rep", "key").join(buckets, "key"), "members")
 
     sides = classes.select("rep", "b")
-    star = members.where("rep <> pivot").select(F.least("rep", "pivot").alias("x"), F.greatest("rep", "pivot").alias("y")).distinct()
+    star = members.where("rep <> pivot").groupBy("rep").agg(F.max(F.struct("copies", (-F.col("pivot")).alias("pivot"))).alias("p"))
+    star = star.select(F.col("rep").alias("x"), (-F.col("p.pivot")).alias("y"))
     star = star.join(sides.toDF("x", "bx"), "x").join(sides.toDF("y", "by"), "y").where(F.arrays_overlap("bx", "by")).select("x", "y")
     star = scratch.keep(star, "pairs")
     links = confirm(docs, star, scratch, n, percent)
-    joined = components(links.toDF("a", "b"), scratch)
+    stars = components(links.toDF("a", "b"), scratch)
 
-    labelled = members.join(joined.toDF("rep", "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    labelled = members.join(stars.toDF("rep", "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
     labelled = scratch.keep(labelled, "labelled")
     scratch.drop(members, star)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
@@ -271,14 +275,14 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame
     cells = cells.join(classes.select("rep", "a", "b"), "rep")
     compared = scratch.keep(_run_cells(cells, percent), "compared")
     pairs = scratch.keep(compared.where("kind = 0").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    links = links.union(confirm(docs, pairs, scratch, n, percent))
+    links = stars.toDF("x", "y").union(confirm(docs, pairs, scratch, n, percent))
     dense = compared.where("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("part")).distinct()
     if not dense.isEmpty():
         full = scratch.keep(cells.join(dense, ["key", "part"]), "dense")
         ids = full.select(F.col("rep").alias("id")).distinct()
         sets = full_sets(docs, ids, ids.count(), scratch, n)
         links = links.union(_run_cells(full.join(sets.toDF("rep", "set"), "rep"), percent).select("x", "y"))
-    joined = components(scratch.keep(links, "links").toDF("a", "b"), scratch)
+    joined = components(links.toDF("a", "b"), scratch)
 
     named = classes.select("d1", "d2", "n_shingles", "rep").join(joined.toDF("rep", "component"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
