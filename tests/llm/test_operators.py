@@ -394,6 +394,27 @@ def test_repeated_passages(spark):
         assert abs(r.start_word - at) <= 25 and abs(r.end_word - at - size) <= 25
 
 
+def test_passages_far_apart_are_each_reported(spark):
+    rng = random.Random(16)
+    one, two, *fill = (text_of(rng, n, 10**6) for n in (60, 60, 120, 120, 40, 40))
+    rows = [(1, " ".join([fill[2], one, fill[0], two])), (2, " ".join([fill[3], one, fill[1], two]))]
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {w for r in got if (r.doc_id, r.other_id) == (2, 1) for w in range(r.start_word, r.end_word)}
+    assert {*range(40, 100), *range(220, 280)} <= covered and len(covered) < 240
+    assert all(r.share >= 0.8 for r in got)
+
+
+def test_passages_of_an_alignment():
+    rng = random.Random(17)
+    for _ in range(200):
+        n = rng.randrange(1, 80)
+        y, x = (np.array(sorted(rng.sample(range(rng.choice((n, n + 9, 2 * n))), n))) for _ in "yx")
+        size = lambda i, j: max(y[j] - y[i], x[j] - x[i]) + 1
+        want = max((j - i + 1 for i in range(n) for j in range(i, n) if j - i + 1 >= 0.8 * size(i, j) and y[j] - y[i] >= 9), default=0)
+        found = substrings.passages(y, x, 10, 0.8)
+        assert max((p[-1] for p in found), default=0) == want
+
+
 def test_chain_against_all_predecessors():
     rng = random.Random(8)
     for _ in range(30):
