@@ -404,6 +404,39 @@ def test_passages_far_apart_are_each_reported(spark):
     assert all(r.share >= 0.8 for r in got)
 
 
+def covered_words(rows):
+    out = defaultdict(set)
+    for r in rows:
+        out[r.doc_id].update(range(r.start_word, r.end_word))
+    return out
+
+
+def test_passage_whose_parts_stand_in_earlier_documents(spark):
+    rng = random.Random(18)
+    whole, *fill = (text_of(rng, n, 10**6) for n in (60, 90, 90, 90, 90))
+    head, tail = " ".join(whole.split()[:30]), " ".join(whole.split()[30:])
+    rows = [(d, f"{f} {part} {f.upper()[:40]}") for d, f, part in zip((1, 2, 3, 4), fill, (head, tail, whole, whole))]
+    got = covered_words(substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got.keys() == {4} and {*range(90, 150)} <= got[4]
+
+
+def test_every_exact_run_is_reported(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id IS NOT NULL")
+    texts = {r.doc_id: textvec.plain_words(pa.array([r.text], pa.string())).hash.tolist() for r in docs.collect()}
+    want, seen = defaultdict(set), {}
+    for d in sorted(texts):
+        runs = [tuple(texts[d][i : i + 50]) for i in range(len(texts[d]) - 49)]
+        for i, run in enumerate(runs):
+            if seen.get(run, d) != d:
+                want[d].update(range(i, i + 50))
+        for run in runs:
+            seen.setdefault(run, d)
+    rows = substrings.repeats(docs).collect()
+    got = covered_words(rows)
+    assert want and all(words <= got[d] for d, words in want.items())
+    assert all(texts[r.doc_id][r.start_word : r.end_word] == texts[r.other_id][r.other_start : r.other_end] for r in rows if r.share == 1)
+
+
 def test_passages_of_an_alignment():
     rng = random.Random(17)
     for _ in range(200):
