@@ -420,6 +420,29 @@ def test_passage_whose_parts_stand_in_earlier_documents(spark):
     assert got.keys() == {4} and {*range(90, 150)} <= got[4]
 
 
+def test_passages_of_repeated_lines_single_seeds_and_second_places(spark):
+    rng = random.Random(19)
+    line, long_line, passage = (text_of(rng, n, 10**6) for n in (7, 30, 55))
+    fill = [text_of(rng, 20, 10**6) for _ in range(12)]
+    rows = [(1, " ".join([fill[0], *[line] * 40, fill[1]])), (2, " ".join([fill[2], *[line] * 40, fill[3]]))]
+    rows += [(3, " ".join([fill[4], long_line, fill[5], *[long_line] * 6])), (4, " ".join([fill[6], *[long_line] * 6, fill[7]]))]
+    rows += [(5, f"{fill[8]} {passage}"), (6, " ".join([passage, fill[9], passage, fill[10], fill[11], passage]))]
+    got = covered_words(substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert {*range(20, 300)} <= got[2] and {*range(20, 200)} <= got[4]
+    assert {*range(55), *range(75, 130), *range(170, 225)} <= got[6]
+
+
+def test_edited_passages_with_few_seeds(spark):
+    rng = random.Random(20)
+    rows, changed = [], lambda ws: [w if i % 6 < 5 or 22 < i < 38 else f"new{rng.random()}" for i, w in enumerate(ws)]
+    for d in range(0, 60, 2):
+        passage = text_of(rng, 60, 10**9).split()
+        for k, words in enumerate((passage, changed(passage))):
+            rows.append((d + k, " ".join([text_of(rng, 40, 10**9), *words, text_of(rng, 40, 10**9)])))
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {d + 1 for d in range(0, 60, 2)}
+
+
 def test_every_exact_run_is_reported(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id IS NOT NULL")
     texts = {r.doc_id: textvec.plain_words(pa.array([r.text], pa.string())).hash.tolist() for r in docs.collect()}
