@@ -4,9 +4,7 @@ Passages are windows of ``2 * HALF`` words, starting every ``HALF`` words, over
 every whole document.  Three passes read the documents; none shuffles a text.
 
 1. Document frequencies of hashed words, over all passages.
-2. A randomised SVD of the TF-IDF matrix A of passages.  The index is fitted on the
-   passages of at most about ``SAMPLE_DOCS`` documents, chosen by a hash; it is
-   then applied to every passage.  Each task adds up its rows' part of A'(A omega)
+2. A randomised SVD of the TF-IDF matrix A of all passages.  Each task adds up its rows' part of A'(A omega)
    for a random omega of ``RANK + EXTRA`` columns; the parts are summed by blocks
    of features, and the Nystroem formula turns the sum, of fixed size, into the
    leading right singular vectors and values.
@@ -49,8 +47,6 @@ COPY, PARAPHRASE, ANSWER = 0.75, 0.6, 0.7
 EXACT_BELOW = 6
 BLOCK_ITEMS = 4096
 BLOCKS = 64
-#: Documents that the latent space is fitted on, about.
-SAMPLE_DOCS = 20_000
 _MARKS = 512
 
 
@@ -136,9 +132,7 @@ def fit_space(docs: DataFrame, idf: np.ndarray, seed: int = 2011) -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "part"])
 
     schema = "block int, part binary"
-    share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    summed = sample.select("text").mapInArrow(task, schema).repartition(BLOCKS, "block").mapInArrow(_rows_of, schema).toArrow().sort_by("block")
+    summed = docs.select("text").mapInArrow(task, schema).repartition(BLOCKS, "block").mapInArrow(_rows_of, schema).toArrow().sort_by("block")
     image = np.zeros((BLOCKS, (1 << BITS) // BLOCKS * (RANK + EXTRA)))
     for block, part in zip(summed["block"].to_pylist(), summed["part"].to_pylist()):
         image[block] = np.frombuffer(part)

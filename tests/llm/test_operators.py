@@ -197,6 +197,12 @@ def test_paraphrases_are_found_and_clean_texts_left_alone(spark):
     assert all(abs(r.start_word - 60) <= 15 for r in got)
 
 
+def test_latent_space_is_fitted_on_all_documents(spark):
+    docs = spark.range(24_000, numPartitions=4).selectExpr("id AS doc_id", "'one two three four' AS text")
+    _, values = decontaminate.fit_space(docs, np.ones(1 << decontaminate.BITS))
+    assert math.isclose(values[0], math.sqrt(24_000), rel_tol=1e-3)
+
+
 def test_decontamination_on_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "word"), (4, "never seen before here")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, items).collect()}
