@@ -37,7 +37,8 @@ from sitelattice.llm.runtime import Scratch, table
 HALF = 16
 BITS = 14
 RANK, EXTRA = 64, 8
-COSINE = 0.25
+#: Of 911 edited copies that brute force accepts, 910 are found at 0.15, 906 at 0.2 and 903 at 0.25 (sf0.1, 62 and 70 % of the words kept).
+COSINE = 0.15
 #: Share of a passage's rare words (by hash) that a candidate must have; of all its words, if it has few rare ones.
 RARE_SHARE, SHARE, FEW = 0.3, 0.45, 4
 #: A word is rare if at most this share of the passages have it.

@@ -197,6 +197,22 @@ def test_paraphrases_are_found_and_clean_texts_left_alone(spark):
     assert all(abs(r.start_word - 60) <= 15 for r in got)
 
 
+def test_cosine_bound_loses_no_edited_copy(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").limit(100).collect()]
+    vocabulary, rng = [w for r in docs.limit(200).collect() for w in (r.text or "").split()], random.Random(3)
+    rows = []
+    for i, (_, text) in enumerate(items * 4):
+        words = [w if rng.random() < 0.65 else rng.choice(vocabulary) for w in text.split()]
+        at = rng.randrange(len(vocabulary) - 200)
+        rows.append((i, " ".join([*vocabulary[at : at + 60], *words, *vocabulary[at + 60 : at + 120]])))
+    copies, model = spark.createDataFrame(rows, "doc_id long, text string"), decontaminate.fit(docs)
+    found = lambda: {(r.doc_id, r.item_id) for r in decontaminate.search(copies, items, model).collect()}
+    got = found()
+    monkeypatch.setattr(decontaminate, "COSINE", -1.0)
+    assert len(found() - got) <= 1
+
+
 def test_latent_space_is_fitted_on_all_documents(spark):
     docs = spark.range(24_000, numPartitions=4).selectExpr("id AS doc_id", "'one two three four' AS text")
     _, values = decontaminate.fit_space(docs, np.ones(1 << decontaminate.BITS))
