@@ -12,7 +12,7 @@ of two exponentiated tables, so each token's log-probability is exactly normalis
    by Spark.  The table grows with the corpus and never leaves the cluster.
 2. Training: every task walks through its documents from the same start and
    takes gradient steps on one in ``EVERY`` positions of each; the parameters are
-   averaged, weighted by positions.  ``ROUNDS`` rounds take different positions.
+   averaged, weighted by positions.  The rounds together take every position once.
 3. Scoring: the at most ``FREQUENT`` most frequent words' counts are broadcast;
    the other words' occurrences, a small part, meet their counts in a join.
 
@@ -35,7 +35,8 @@ from sitelattice.llm.runtime import Scratch, fold, segment_sum, table
 
 HEAD, TAILS = 1024, 64
 BOS = HEAD + TAILS  # only as context
-DIM, ROUNDS, EVERY, BATCH, NOISE, RATE = 48, 3, 8, 512, 96, 0.1
+EVERY = 3
+DIM, ROUNDS, BATCH, NOISE, RATE = 48, EVERY, 512, 96, 0.1  # a round for each remainder, so every position is a target once
 FREQUENT = 500_000
 ALPHA = 0.1
 #: Pieces that the parameters are averaged in.
@@ -184,6 +185,12 @@ class LogBilinear:
         return np.stack([one, two]) / np.float32(ten), (norm / ten).astype(np.float32)
 
 
+def positions(first: np.ndarray, turn: int) -> np.ndarray:
+    """The tokens that a round takes: one in ``EVERY`` of each document, counted from its start."""
+    at = np.arange(first[-1])
+    return at[(at - np.repeat(first[:-1], np.diff(first))) % EVERY == turn % EVERY]
+
+
 def _train_round(train: DataFrame, model: LogBilinear, head: np.ndarray, turn: int, scratch: Scratch) -> None:
     """One pass: every task's own steps from the model's parameters, then their weighted mean."""
     given = train.sparkSession.sparkContext.broadcast((model, head))
@@ -203,7 +210,7 @@ def _train_round(train: DataFrame, model: LogBilinear, head: np.ndarray, turn: i
                 value, tail, first = _tokens(rows)
                 classes = class_of(value, tail, head)
                 one, two = _contexts(classes, first)
-                chosen = rng.permutation(np.arange(turn % EVERY, len(classes), EVERY))
+                chosen = rng.permutation(positions(first, turn))
                 for i in range(0, len(chosen), BATCH):
                     at = chosen[i : i + BATCH]
                     noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), BOS - 1)

@@ -531,6 +531,13 @@ def test_language_model_counts_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_rounds_take_every_position():
+    first = np.array([0, 1, 3, 20, 21, 29])
+    taken = np.concatenate([language_model.positions(first, turn) for turn in range(language_model.ROUNDS)])
+    assert sorted(taken.tolist()) == list(range(29))
+    assert set(first[:-1]) <= set(language_model.positions(first, 0).tolist())
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(3)
     share = rng.random(language_model.BOS)
