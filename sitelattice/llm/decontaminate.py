@@ -300,8 +300,13 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, with their own columns."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    found = Scratch(spark, "decontaminate").keep(found, "found")
+    """Documents that hold no benchmark item, with their own columns.
+
+    Rows are told apart by a key of their own, stored with them: identifiers may be null or repeated.
+    """
+    scratch = Scratch(spark, "decontaminate")
+    docs = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = contaminated(docs.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    found = scratch.keep(found, "found")
     few = found.count() <= 1_000_000
-    return docs.join(F.broadcast(found) if few else found, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(F.broadcast(found) if few else found, "_row", "left_anti").drop("_row")

@@ -227,6 +227,14 @@ def test_decontamination_on_odd_rows(spark, odd, empty):
     assert decontaminate.contaminated(odd, items.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_stage_with_null_and_repeated_identifiers(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").orderBy(F.desc(F.length("text"))).first().text
+    rows = [(None, item, "leak"), (None, "a clean text of no item", "clean"), (7, item, "leak"), (7, "another clean text", "clean"), (8, None, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    got = decontaminate.stage(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(r.kind for r in got.collect()) == ["clean"] * 3
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(60):
