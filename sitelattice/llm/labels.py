@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelattice.llm.runtime import bounded_sample, fold
@@ -12,6 +12,11 @@ def held_out():
     return fold("doc_id", 5) == 0
 
 
+def sample_order() -> list[Column]:
+    """The order in which a fit takes its rows: by a hash, so that parts of it are alike."""
+    return [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, target: str, most: int) -> DataFrame:
     """(doc_id, text, label) of at most ``most`` labelled rows outside the held-out fold.
 

@@ -6,8 +6,9 @@ fixed number of buckets.  Each indicator is scaled by its class log-count
 ratio, rows are brought to unit length, and a linear hinge-loss model is fitted
 by dual coordinate descent.  Margins of a two-fold split calibrate the score.
 
-The fit reads at most ``sample_rows`` labelled rows of the training fold, a
-documented bound; scoring covers every whole text in one pass without a shuffle.
+The fit reads at most ``sample_rows`` labelled rows of the training fold, and
+``SAMPLE_BYTES`` of their features, documented bounds; one task on an executor fits it.
+Scoring covers every whole text in one pass without a shuffle.
 
 Cases: a null text scores as an empty one, from the intercept alone.  With no
 labelled rows every score is 0.5; with labels of one class it is that class's
@@ -16,18 +17,20 @@ smoothed share.  Repeated rows and extra columns change nothing.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelattice.llm import textvec
-from sitelattice.llm.labels import held_out, training_sample
-from sitelattice.llm.runtime import segment_sum, sigmoid, table
+from sitelattice.llm.labels import held_out, sample_order, training_sample
+from sitelattice.llm.runtime import in_one_task, own_names, renamed, segment_sum, sigmoid, table
 
 WORD_BITS, CHAR_BITS, SHAPE_BITS = 17, 16, 12
-#: Labelled rows that a fit reads at most.
-SAMPLE_ROWS = 6000
+#: Labelled rows, and bytes of their feature numbers, that a fit reads at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 128 << 20
 SIZE = (1 << WORD_BITS) + (1 << CHAR_BITS) + (1 << SHAPE_BITS)
 
 _KIND = np.full(256, 8, np.uint8)  # symbols
@@ -79,16 +82,18 @@ def dual_coordinate_descent(ids, first, y, ratio, rows, cost=1.0, epochs=12, tol
     Rows are the ratio-scaled indicators at unit length, with a constant 1 for the intercept.
     """
     weight, intercept, dual = np.zeros(SIZE), 0.0, np.zeros(len(y))
-    scaled = [(i := ids[first[r] : first[r + 1]], ratio[i] / max(np.sqrt((ratio[i] ** 2).sum()), 1e-12)) for r in rows]
-    norm = [x @ x + 1 for _, x in scaled]
-    order, rng = np.arange(len(rows)), np.random.default_rng(seed)
+    value = ratio.astype(np.float32)[ids]
+    size = np.maximum(np.sqrt(segment_sum(value.astype(np.float64) ** 2, first)), 1e-12)
+    value /= np.repeat(size, np.diff(first)).astype(np.float32)
+    norm = segment_sum(value.astype(np.float64) ** 2, first) + 1
+    order, rng, ends = np.array(rows), np.random.default_rng(seed), first.tolist()
     for _ in range(epochs):
         rng.shuffle(order)
         widest = 0.0
-        for k in order:
-            (i, x), r = scaled[k], rows[k]
+        for r in order.tolist():
+            i, x = ids[ends[r] : ends[r + 1]], value[ends[r] : ends[r + 1]]
             gradient = y[r] * (weight[i] @ x + intercept) - 1
-            ahead = min(max(dual[r] - gradient / norm[k], 0.0), cost)
+            ahead = min(max(dual[r] - gradient / norm[r], 0.0), cost)
             step = (ahead - dual[r]) * y[r]
             widest = max(widest, abs(step))
             if step:
@@ -121,42 +126,46 @@ def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, fl
     return float(slope), float(offset)
 
 
-def fit(sample: DataFrame, cost: float = 1.0) -> dict:
-    """The model, from ``sample(text, label)``, a bounded number of rows."""
+def _constant(share: float) -> dict:
+    return {"weight": np.zeros(SIZE, np.float32), "ratio": np.zeros(SIZE, np.float32), "intercept": 0.0, "slope": 0.0, "offset": float(np.log(share / (1 - share)))}
 
-    def task(batches):
-        for batch in batches:
-            for rows in textvec.slices(batch, "text"):
-                ids, first = features(rows.column("text"))
-                cells = [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(cells, pa.binary())], ["doc_id", "label", "ids"])
 
-    rows = sample.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, ids binary").toArrow().sort_by("doc_id")
+def _fit(rows: pa.Table, cost: float) -> dict:
     y = np.where(rows["label"].to_numpy() == 1, 1, -1)
-    if not len(y) or abs(y.sum()) == len(y):
-        share = (np.sum(y > 0) + 1) / (len(y) + 2)
-        return {"weight": np.zeros(SIZE, np.float32), "ratio": np.zeros(SIZE, np.float32), "intercept": 0.0, "slope": 0.0, "offset": float(np.log(share / (1 - share)))}
-    cells = [np.frombuffer(x, np.int32) for x in rows["ids"].to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in cells])])
-    ids = np.concatenate(cells)
-    del rows, cells
+    if abs(y.sum()) == len(y):
+        return _constant((np.sum(y > 0) + 1) / (len(y) + 2))
+    data, at = textvec.text_buffer(rows["ids"].combine_chunks())
+    ids, first = data.view(np.int32), at // 4
     ratio = log_count_ratio(ids, first, y)
     outside = np.zeros(len(y))
     for part in (0, 1):
         mine, other = np.flatnonzero(np.arange(len(y)) % 2 == part), np.flatnonzero(np.arange(len(y)) % 2 != part)
-        weight, intercept = dual_coordinate_descent(ids, first, y, ratio, mine, cost)
-        outside[other] = margins(ids, first, ratio, weight, intercept)[other]
+        outside[other] = margins(ids, first, ratio, *dual_coordinate_descent(ids, first, y, ratio, mine, cost))[other]
     slope, offset = platt(outside, y)
     weight, intercept = dual_coordinate_descent(ids, first, y, ratio, np.arange(len(y)), cost)
     return {"weight": weight.astype(np.float32), "ratio": ratio.astype(np.float32), "intercept": intercept, "slope": slope, "offset": offset}
 
 
+def fit(sample: DataFrame, cost: float = 1.0) -> dict:
+    """The model, from ``sample(doc_id, text, label)``, a bounded number of rows, fitted by one task."""
+
+    def task(batches):
+        for batch in batches:
+            for rows in textvec.slices(batch, "text"):
+                ids, first = features(rows.column("text"))
+                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int64) * 4), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), cells.cast(pa.binary())], ["doc_id", "label", "ids"])
+
+    rows = sample.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, ids binary")
+    return in_one_task(rows, sample_order(), "ids", SAMPLE_BYTES, partial(_fit, cost=cost)) or _constant(0.5)
+
+
 def score(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -> DataFrame:
     """Columns ``keep`` of ``docs`` with column ``name``, the score (0 to 1, higher is better) of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    inner = [f"_k{i}" for i in range(len(keep))]
+    inner = own_names(keep)
     text = inner[keep.index("text")] if "text" in keep else "_text"
-    chosen = docs.select(*(F.col(c).alias(i) for c, i in zip(keep, inner)), *([] if "text" in keep else [F.col("text").alias(text)]))
+    chosen = docs.select(*renamed(docs, keep, inner), *([] if "text" in keep else [F.col("text").alias(text)]))
     schema = chosen.select(*inner).schema.add("_score", "double")
 
     def task(batches):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (tests), a new temporary folder."""
+    """``spark.checkpoint.dir``; only where that is unset on a local session (tests), a new temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         application = spark.sparkContext.applicationId
         folder = _own.get(application) or _own.setdefault(application, f"file://{tempfile.mkdtemp(prefix='shared-')}")
     return folder.rstrip("/")
@@ -81,6 +86,43 @@ def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFra
     return df.orderBy(rank, key).limit(most)
 
 
+def own_names(columns: list[str]) -> list[str]:
+    """Names for ``columns`` inside an operator that clash with nothing it adds."""
+    return [f"_k{i}" for i in range(len(columns))]
+
+
+def renamed(df: DataFrame, before: list[str], after: list[str]) -> list[Column]:
+    """The columns ``before`` of ``df``, each under its name in ``after``."""
+    return [df[f"`{b}`"].alias(a) for b, a in zip(before, after)]
+
+
+def in_one_task(rows: DataFrame, order: list[Column], size: str, most_bytes: int, fit):
+    """What ``fit`` makes of a bounded sample, computed by one task on an executor; None without rows.
+
+    Rows come in ``order``; those behind the first ``most_bytes`` of the binary
+    column ``size`` are left out, so the task's memory is bounded whatever the rows hold.
+    The driver only ever sees the pickled result.
+    """
+
+    def task(batches):
+        held, total = [], 0
+        for batch in batches:
+            sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(size)).fill_null(0), np.int64)) + total
+            fits = int(np.searchsorted(sizes, most_bytes, "right"))
+            if fits:
+                held.append(batch.slice(0, fits))
+                total = int(sizes[fits - 1])
+            if fits < len(sizes):
+                break
+        for _ in batches:  # to the end, so that the JVM's writer is not cut off
+            pass
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(held)))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(task, "model binary").collect()  # one row
+    return pickle.loads(found[0].model) if found else None
+
+
 def few_or_joined(df: DataFrame, ids: DataFrame, on: list[str], n: int) -> DataFrame:
     """Inner join with a narrow side of ``n`` counted rows: broadcast if that is few, else shuffled."""
     return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("merge"), on)
@@ -128,8 +170,6 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _contract(batches):
     """Edges (a, b) of a partition as stars."""
-    import pyarrow as pa
-
     held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in local_stars(*(np.concatenate(c) for c in zip(*held)))], ["a", "b"])

@@ -7,8 +7,9 @@ languages that the base lexicon lacks, in any inflection), the same after undoin
 symbols and repeated characters.  Trees are grown on histograms in numpy; the
 isotonic curve is fitted on out-of-fold scores.
 
-The fit reads at most ``sample_rows`` labelled rows of the training fold, a
-documented bound; scoring covers every whole text in one pass without a shuffle.
+The fit reads at most ``sample_rows`` labelled rows of the training fold, and
+``SAMPLE_BYTES`` of their texts, documented bounds; one task on an executor fits it.
+Scoring covers every whole text in one pass without a shuffle.
 
 Cases: a null text scores as an empty one.  Without labelled rows every score
 is 0.5; with labels of one class it is that class's smoothed share.  Repeated
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelattice.llm import textvec
-from sitelattice.llm.labels import held_out, training_sample
-from sitelattice.llm.runtime import segment_sum, sigmoid, table
+from sitelattice.llm.labels import held_out, sample_order, training_sample
+from sitelattice.llm.runtime import in_one_task, own_names, renamed, sigmoid, table
 
-#: Labelled rows that a fit reads at most.
-SAMPLE_ROWS = 6000
+#: Labelled rows, and bytes of their texts, that a fit reads at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 128 << 20
 #: Words that insult in everyday English, known before any training.
 LEXICON = ("idiot", "stupid", "moron", "loser", "trash", "scum", "clown", "pathetic", "worthless", "disgusting", "dumb", "ugly", "hate", "jerk", "fool", "garbage", "creep", "freak", "pig", "filthy", "vile", "useless", "crap", "damn", "hell", "suck", "sucks", "kill", "shut", "imbecile")
 SECOND_PERSON = ("you", "your", "yours", "yourself", "youre", "u", "ur")
@@ -193,11 +194,12 @@ class Trees:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing curve through (margin, y): pools of adjacent violators."""
-    order = np.argsort(margin, kind="stable")
+    """Knots of the non-decreasing curve through (margin, y): pools of adjacent violators, equal margins as one."""
+    level, where = np.unique(margin, return_inverse=True)
+    rows = np.bincount(where, minlength=len(level)).astype(float)
     pools: list[list[float]] = []  # mean, rows, lowest and highest margin
-    for m, t in zip(margin[order], y[order]):
-        pools.append([float(t), 1.0, float(m), float(m)])
+    for m, n, t in zip(level.tolist(), rows.tolist(), np.bincount(where, y, len(level)).tolist()):
+        pools.append([t / n, n, m, m])
         while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
             mean, n, _, high = pools.pop()
             last = pools[-1]
@@ -209,8 +211,7 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(sample: DataFrame) -> dict:
-    """The model, from ``sample(doc_id, text, label)``, a bounded number of rows."""
-    base, second = hashes_of(LEXICON), hashes_of(SECOND_PERSON)
+    """The model, from ``sample(doc_id, text, label)``, a bounded number of rows, fitted by one task."""
 
     def task(batches):
         for batch in batches:
@@ -219,14 +220,19 @@ def fit(sample: DataFrame) -> dict:
                 cells = [pa.array(c, pa.binary()) for c in zip(*_vocabulary(plain))]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), rows.column("text").cast(pa.string()), *cells], ["doc_id", "label", "text", "words", "stems"])
 
-    rows = sample.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, text string, words binary, stems binary").toArrow().sort_by("doc_id")
+    rows = sample.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, text string, words binary, stems binary")
+    model = in_one_task(rows, sample_order(), "text", SAMPLE_BYTES, _fit)
+    return model or {"trees": None, "share": 0.5}
+
+
+def _fit(rows: pa.Table) -> dict:
+    base, second = hashes_of(LEXICON), hashes_of(SECOND_PERSON)
     y = rows["label"].to_numpy().astype(np.float64)
-    model = {"base": base, "second": second, "learned": np.zeros(0, np.uint64), "stems": np.zeros(0, np.uint64), "trees": None, "share": (y.sum() + 1) / (len(y) + 2)}
+    model = {"base": base, "second": second, "trees": None, "share": (y.sum() + 1) / (len(y) + 2)}
     if not y.any() or y.all():
         return model
     cells, stem_cells = ([np.frombuffer(c, np.uint64) for c in rows[name].to_pylist()] for name in ("words", "stems"))
     text, part, outside = rows["text"].combine_chunks(), np.arange(len(y)) % 3, np.zeros(len(y))
-    text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
 
     def dense(learned, stems):
         return np.concatenate([features(b.column("text"), base, learned, stems, second)[0] for b in textvec.slices(pa.RecordBatch.from_arrays([text], ["text"]), "text")])
@@ -244,8 +250,8 @@ def fit(sample: DataFrame) -> dict:
 def score(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -> DataFrame:
     """Columns ``keep`` of ``docs`` with column ``name``, the toxicity (0 to 1) of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    inner = [f"_k{i}" for i in range(len(keep))]
-    chosen = docs.select(*(F.col(c).alias(i) for c, i in zip(keep, inner)), F.col("text").alias("text"))
+    inner = own_names(keep)
+    chosen = docs.select(*renamed(docs, keep, inner), "text")
     schema = chosen.select(*inner).schema.add("_score", "double")
 
     def task(batches):
