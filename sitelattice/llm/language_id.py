@@ -1,15 +1,18 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts of hashed UTF-8 byte n-grams (``A-Z`` lower-cased) are gathered over
-every training document in one pass, combined map-side, and summed by Spark for
-each (language, bucket).  The table of log-probabilities has a fixed number of
-buckets for each language, which bounds the broadcast.  A second pass scores
-sparse batches in numpy.
+Texts are decoded to characters (``A-Z`` lower-cased, white space as blanks).
+Counts of hashed character n-grams, and of documents, are gathered over every
+training document in one pass, combined map-side, and summed by Spark for each
+(language, bucket).  The log-probability matrix has a fixed number of buckets for
+each language and is broadcast in blocks of at most ``BLOCK`` languages, which
+bounds it; a pass scores sparse batches in numpy against one block after another.
+A text's language has the highest posterior: prior share of documents times the
+product of its n-grams' probabilities.
 
 Cases: a null text, or one without any letter, gives ``und`` and score 0.  Rows
 with a null language are scored but not learned from.  Without any training
 row everything is ``und``.  Ties go to the alphabetically first language.
-Repeated rows are scored alike; extra columns are ignored.
+Repeated rows are scored alike; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,78 +25,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelattice.llm import textvec
-from sitelattice.llm.runtime import fold, segment_sum
+from sitelattice.llm.runtime import Scratch, fold, own_names, renamed, segment_sum, table
 
 UNDETERMINED = "und"
+ORDERS, BITS, ALPHA = (1, 2, 3, 4), 15, 0.5
+#: Languages in one broadcast matrix, 128 KB each; and those that a counting task holds before it hands on.
+BLOCK = 256
+#: The bucket that counts documents.
+DOCUMENTS = -1
 
 
 def _buckets(rows: pa.RecordBatch, orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    data, at = textvec.text_buffer(rows.column("text"))
-    data = np.frombuffer(textvec.fold_bytes(data), np.uint8)
+    """For each n the n-grams' buckets of all rows end to end, and where each row's begin."""
+    data, at = textvec.characters(*textvec.text_buffer(rows.column("text")))
     for n in orders:
         value, first = textvec.char_grams(data, at, n)
         yield ((value ^ np.uint32(n * 0x51ED27)) & np.uint32((1 << bits) - 1)).astype(np.int32), first
 
 
-def count_ngrams(docs: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
-    """(lang, bucket, n) over ``docs(text, lang)``."""
+def count_ngrams(docs: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
+    """(lang, bucket, n) over ``docs(text, lang)``; bucket ``DOCUMENTS`` counts the documents."""
+
+    def rows_of(totals):
+        for lang, total in totals.items():
+            used = np.flatnonzero(total)
+            bucket = np.where(used == 1 << bits, DOCUMENTS, used).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used)), "bucket": pa.array(bucket), "n": pa.array(total[used])})
+        totals.clear()
 
     def task(batches):
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for rows in textvec.slices(batch, "text"):
                 langs = rows.column("lang").to_pylist()
-                known = sorted(set(langs))
-                code = np.array([known.index(x) for x in langs])
+                known = {x: i for i, x in enumerate(sorted(set(langs)))}
+                code = np.array([known[x] for x in langs])
+                for lang, n in zip(known, np.bincount(code)):
+                    if lang not in totals and len(totals) >= BLOCK:
+                        yield from rows_of(totals)
+                    totals.setdefault(lang, np.zeros((1 << bits) + 1, np.int64))[1 << bits] += n
                 for value, first in _buckets(rows, orders, bits):
                     owner = np.repeat(code, np.diff(first))
-                    for i, lang in enumerate(known):
+                    for lang, i in known.items():
                         mine = value if len(known) == 1 else value[owner == i]
-                        totals.setdefault(lang, np.zeros(1 << bits, np.int64))
-                        totals[lang] += np.bincount(mine, minlength=1 << bits)
-        for lang, total in totals.items():
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used)), "bucket": pa.array(used.astype(np.int32)), "n": pa.array(total[used])})
+                        totals.setdefault(lang, np.zeros((1 << bits) + 1, np.int64))[: 1 << bits] += np.bincount(mine, minlength=1 << bits)
+        yield from rows_of(totals)
 
     return docs.select("text", "lang").mapInArrow(task, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def log_probabilities(counts: DataFrame, bits: int, alpha: float) -> tuple[list[str], np.ndarray]:
-    """Sorted languages and the (bucket, language) matrix of smoothed log-probabilities."""
-    found = counts.toArrow()
-    langs = sorted(set(found["lang"].to_pylist()))
-    matrix = np.full((1 << bits, max(len(langs), 1)), alpha)
-    if langs:
-        column = np.searchsorted(np.array(langs), np.array(found["lang"].to_pylist()))
-        matrix[found["bucket"].to_numpy(), column] += found["n"].to_numpy()
-    return langs, np.log(matrix / matrix.sum(0)).astype(np.float32)
+def log_probabilities(counts: DataFrame, langs: list[str], documents: list[int], total: int, bits: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-prior of each of ``langs`` (sorted) and their (bucket, language) matrix of smoothed log-probabilities."""
+    found = counts.where((F.col("bucket") != DOCUMENTS) & F.col("lang").isin(langs)).toArrow()  # at most 2 ** bits rows for each
+    matrix = np.full((1 << bits, len(langs)), alpha)
+    column = np.searchsorted(np.array(langs, object), np.array(found["lang"].to_pylist(), object)) if found.num_rows else np.zeros(0, np.int64)
+    matrix[found["bucket"].to_numpy(), column] += found["n"].to_numpy()
+    return np.log(np.array(documents) / total), np.log(matrix / matrix.sum(0)).astype(np.float32)
 
 
-def identify(docs: DataFrame, train: DataFrame, keep: list[str], orders: tuple[int, ...] = (1, 2, 3, 4), bits: int = 15, alpha: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, keep: list[str], orders: tuple[int, ...] = ORDERS, bits: int = BITS, alpha: float = ALPHA) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred and score (posterior probability)."""
-    spark = docs.sparkSession
-    langs, matrix = log_probabilities(count_ngrams(train.where("lang IS NOT NULL"), orders, bits), bits, alpha)
-    model = spark.sparkContext.broadcast((langs, matrix))
-    chosen = docs.select(*keep, "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    schema = chosen.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-
-    def task(batches):
-        langs, matrix = model.value
-        for batch in batches:
-            for rows in textvec.slices(batch, "text"):
-                likely = sum(segment_sum(matrix[value], first) for value, first in _buckets(rows, orders, bits))
-                best = likely.argmax(1)
-                score = 1 / np.exp(likely - likely.max(1, keepdims=True)).sum(1)
-                letter = rows.column("_letter").to_numpy(zero_copy_only=False).astype(bool) & bool(langs)
-                named = [langs[b] if ok else UNDETERMINED for b, ok in zip(best, letter)]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(named, pa.string()), pa.array(np.where(letter, score, 0.0))], [*keep, "lang_pred", "score"])
-
-    return chosen.mapInArrow(task, schema)
+    spark, inner = docs.sparkSession, own_names(keep)
+    scratch = Scratch(spark, "language-id")
+    counts = scratch.keep(count_ngrams(train.where("lang IS NOT NULL"), orders, bits), "counts")
+    known = [(r.lang, r.n) for r in counts.where(F.col("bucket") == DOCUMENTS).orderBy("lang").collect()]  # a row for each language
+    total = sum(n for _, n in known)
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    none = (F.lit(None).cast("string").alias("_best"), F.lit(float("-inf")).alias("_top"), F.lit(float("-inf")).alias("_sum"))
+    rows = docs.select(*renamed(docs, keep, inner), "text", letter, *none)
+
+    def scored_by(block: int, names: list[str]):
+        langs, documents = zip(*known[block : block + BLOCK])
+        model = spark.sparkContext.broadcast((langs, *log_probabilities(counts, list(langs), list(documents), total, bits, alpha)))
+
+        def task(batches):
+            langs, prior, matrix = model.value
+            for batch in batches:
+                for rows in textvec.slices(batch, "text"):
+                    likely = prior + sum(segment_sum(matrix[value], first) for value, first in _buckets(rows, orders, bits))
+                    at, top = likely.argmax(1), likely.max(1)
+                    before, so_far = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_top", "_sum"))
+                    best = [langs[i] if new else old for i, new, old in zip(at, top > before, rows.column("_best").to_pylist())]
+                    whole = np.logaddexp(so_far, top + np.log(np.exp(likely - top[:, None]).sum(1)))
+                    new = {"_best": pa.array(best, pa.string()), "_top": pa.array(np.maximum(before, top)), "_sum": pa.array(whole)}
+                    yield pa.RecordBatch.from_arrays([new[c] if c in new else rows.column(c) for c in names], names)
+
+        return task
+
+    for block in range(0, len(known), BLOCK):
+        names = [c for c in rows.columns if c != "text" or block + BLOCK < len(known)]  # the last pass needs no text any more
+        rows = rows.mapInArrow(scored_by(block, names), rows.select(*names).schema)
+    scratch.drop(counts)
+    named = F.col("_letter") & F.col("_best").isNotNull()
+    score = F.when(named, F.least(F.exp(F.col("_top") - F.col("_sum")), F.lit(1.0))).otherwise(0.0)
+    return rows.select(*(F.col(i).alias(k) for i, k in zip(inner, keep)), F.when(named, F.col("_best")).otherwise(UNDETERMINED).alias("lang_pred"), score.alias("score"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    from sitelattice.llm.runtime import table
-
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, docs.where(fold("doc_id", 4) != 2), ["doc_id"])
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

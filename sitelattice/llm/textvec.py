@@ -138,8 +138,23 @@ def plain_words(column: pa.Array) -> Words:
     return split(data[keep], np.concatenate([[0], np.cumsum(keep)])[at])
 
 
+def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 text, each white space a blank, ``A-Z`` lower-cased; where each document's begin."""
+    data = np.frombuffer(fold_bytes(data), np.uint8)
+    if not len(data) or data.max() < 0x80:
+        return data, at
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[start]
+    size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0).astype(np.int64)
+    value = (lead & np.array([0, 0x7F, 0x1F, 0x0F, 0x07], np.uint8)[size]).astype(np.uint32)
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(size > k)
+        value[longer] = value[longer] << np.uint32(6) | data[np.minimum(start[longer] + k, len(data) - 1)] & np.uint8(0x3F)
+    return value, np.searchsorted(start, at)
+
+
 def char_grams(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hash of every run of n bytes that lies in one document; where each document's runs start."""
+    """32-bit hash of every run of n bytes, or characters, that lies in one document; where each document's runs start."""
     count = np.maximum(np.diff(at) - n + 1, 0)
     first = np.concatenate([[0], np.cumsum(count)])
     if len(data) < n or not first[-1]:
