@@ -7,6 +7,9 @@ row and of the first one.  The state lives in RocksDB on the executors' disks
 and in the shared checkpoint folder; a lost executor restores it from there.
 Only map-side combined rows reach the state, so a group of copies of any size
 is no burden.  The state is read back as a table when the stream has caught up.
+With a ``checkpoint`` of its own the state outlives the run: a later run over the
+same folder reads only the files that have come since and meets the digests of
+all earlier ones.
 
 On hits, that is for digests seen more than once, full bytes are checked: the
 rows of those digests are read again and grouped by digest and whole text, again
@@ -24,6 +27,7 @@ neither read nor returned.
 
 from __future__ import annotations
 
+import re
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +44,9 @@ STATE_CONF = {
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
+#: Files that one micro-batch takes.
+FILES_PER_BATCH = 10_000
+
 
 @contextmanager
 def _state_conf(spark: SparkSession):
@@ -62,10 +69,16 @@ def _located(rows: DataFrame, digest) -> DataFrame:
     return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at")).withColumn("digest", digest(F.col("text").cast("binary")))
 
 
-def run_stream(spark: SparkSession, path: str, scratch: Scratch, digest=sha256, files_per_batch: int = 100_000) -> DataFrame:
+def _as_pattern(path: str) -> str:
+    """The path as a glob pattern, as which it may also name a single file."""
+    plain = path.rstrip("/")
+    return plain if re.search(r"[{}\[\]*?\\]", plain) else f"{plain[:-1]}[{plain[-1]}]"
+
+
+def run_stream(spark: SparkSession, path: str, scratch: Scratch, digest=sha256, files_per_batch: int = FILES_PER_BATCH, checkpoint: str | None = None) -> DataFrame:
     """(digest, n, keep struct<doc_id, at>, first) of every digest in the table, from the stream's state."""
-    checkpoint = scratch.path("stream")
-    listed = f"{path[:-1]}[{path[-1]}]"  # as a pattern, the path may also name a single file
+    checkpoint = checkpoint or scratch.path("stream")
+    listed = _as_pattern(path)
     source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(listed)
     seen = _located(source, digest).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "at")).alias("keep"), F.min("at").alias("first"))
     with _state_conf(spark):
@@ -76,13 +89,16 @@ def run_stream(spark: SparkSession, path: str, scratch: Scratch, digest=sha256,
         return scratch.keep(state.toDF("digest", *(["n", "keep", "first"] if len(names) == 4 else names[1:])), "state")
 
 
-def dedup(spark: SparkSession, path: str, digest=sha256, files_per_batch: int = 100_000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of the table at ``path``."""
+def dedup(spark: SparkSession, path: str, digest=sha256, files_per_batch: int = FILES_PER_BATCH, checkpoint: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of the table at ``path``.
+
+    ``checkpoint`` keeps the stream's place and state between runs.
+    """
     scratch = Scratch(spark, "exact-dedup")
     columns = "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     if spark.read.parquet(path).isEmpty():
         return spark.read.parquet(path).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
-    state = run_stream(spark, path, scratch, digest, files_per_batch)
+    state = run_stream(spark, path, scratch, digest, files_per_batch, checkpoint)
     rows = _located(spark.read.parquet(path), digest)
 
     # full bytes of the hits: read again, grouped by the bytes themselves
