@@ -22,8 +22,8 @@ A link needs 100 * intersection >= 80 * union of the full sets.
 
 Cases: a null or blank text has an empty set and links with nothing; a single
 word is a shingle of its own.  Rows with a null identifier link with nothing and
-are kept.  Rows that share an identifier are one node.  Empty tables give empty
-results.  Extra columns do not matter.
+are kept.  Rows that share an identifier are one node, kept or dropped together.
+Empty tables give empty results.  Extra columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,13 +37,15 @@ from pyspark.sql import functions as F
 
 from sitelattice.llm import textvec
 from sitelattice.llm.groups import whole_groups
-from sitelattice.llm.runtime import Scratch, components, few_or_joined, local_stars, segment_sum, table
+from sitelattice.llm.runtime import BROADCAST_ROWS, Scratch, components, few_or_joined, local_stars, segment_sum, table
 
 TUPLES, WIDTH = 26, 5
 #: Members of a cell, and of the other side of a cell, at most.
 CELL = 2048
 #: Pairs for each member from which on a cell carries its full sets.
 DENSE = 1
+#: Partners from which on a document's set is sent to several parts.
+PARTNERS = 1024
 
 _rng = np.random.default_rng(710)
 _XOR = _rng.integers(0, 1 << 32, 2 * TUPLES * WIDTH, dtype=np.uint32)
@@ -139,8 +141,16 @@ def confirm(docs: DataFrame, pairs: DataFrame, scratch: Scratch, n: int, percent
 
     ids = scratch.keep(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
     sets = full_sets(docs, ids, ids.count(), scratch, n)
+    # a document with very many partners is dealt out: its set to several parts, each partner to one of them
+    crowded = scratch.keep(pairs.groupBy("y").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS).select("y", F.ceil(F.col("n") / PARTNERS).cast("int").alias("parts")), "crowded")
+    few = crowded.count() <= BROADCAST_ROWS
+    parts = F.coalesce("parts", F.lit(1))
+    crowded = F.broadcast(crowded) if few else crowded
+    pairs = pairs.join(crowded, "y", "left").select("x", "y", F.pmod(F.xxhash64("x"), parts).cast("int").alias("part"))
+    other = sets.select(F.col("id").alias("y"), F.col("set").alias("sy")).join(crowded, "y", "left")
+    other = other.select("y", "sy", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     joined = pairs.join(sets.select(F.col("id").alias("x"), F.col("set").alias("sx")), "x")
-    joined = joined.where(F.length("sx") > 0).join(sets.select(F.col("id").alias("y"), F.col("set").alias("sy")), "y")
+    joined = joined.where(F.length("sx") > 0).join(other, ["y", "part"])
     # the smaller set must be large enough for the larger one
     joined = joined.where(100 * F.least(F.length("sx"), F.length("sy")) >= percent * F.greatest(F.length("sx"), F.length("sy")))
     edges = scratch.keep(joined.select("x", "y", "sx", "sy").mapInArrow(task, "x long, y long"), "links")
@@ -187,12 +197,13 @@ def _local_pairs(key, role, node, label, a, b, starts):
         here = np.arange(s, e)
         ones = here if role[s] == 0 else here[role[s:e] == 2]
         others = here if role[s] == 0 else here[role[s:e] == 1]
-        foreign = set(node[ones].tolist()) if role[s] else set()
+        foreign = np.unique(node[ones]) if role[s] else np.zeros(0, np.int64)
+        residual = np.isin(node[s:e], foreign)
         parts = []
         for r in ones:
             m = others[others > r] if role[s] == 0 else others[(node[others] != node[r])]
             if role[s]:  # both residual: once only
-                m = m[[node[x] > node[r] or node[x] not in foreign for x in m]] if foreign else m
+                m = m[(node[m] > node[r]) | ~residual[m - s]]
             parts.append(tested(np.full(len(m), r), m))
         yield np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
@@ -321,8 +332,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8), with its own columns."""
     gone = near_duplicates(docs, n=5).where("NOT kept").select(F.col("doc_id").alias("_id"))
     gone = Scratch(spark, "minhash-stage").keep(gone.distinct(), "gone")
-    few = gone.count() <= 1_000_000
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_id"], "left_anti")
 
 
 OP7_SQL = r"""
