@@ -15,24 +15,29 @@ every whole document.  Three passes read the documents; none shuffles a text.
    share of the item and of the item's answer (its last words) decides.
 
 The benchmark is the query set, held by every task.  It is broadcast in blocks
-of at most ``BLOCK_ITEMS`` items, whatever its size; each block is a pass over
-the documents, the model is fitted once.
+of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters (or one item),
+whatever its size; each block is a pass over the documents, the model is fitted once.
 
 Cases: case, punctuation and white space do not matter.  Null and empty texts
 match nothing, nor do items without words.  Items of fewer than ``EXACT_BELOW``
 words must appear word for word.  Repeated documents and items are each
-reported.  Empty tables give an empty result.  Extra columns do not matter.
+reported.  Filtering judges each row by its own text, so null and repeated
+identifiers do no harm.  Empty tables give an empty result.  Extra columns do not
+matter, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelattice.llm import textvec
-from sitelattice.llm.runtime import Scratch, table
+from sitelattice.llm.runtime import own_names, renamed, table
 
 HALF = 16
 BITS = 14
@@ -46,8 +51,10 @@ RARE = 0.01
 #: Share of an item's words in common order from which a passage is a copy; the same where the answer is there too.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.6, 0.7
 EXACT_BELOW = 6
-BLOCK_ITEMS = 4096
+BLOCK_ITEMS, BLOCK_CHARS = 4096, 1 << 24
 BLOCKS = 64
+#: Tasks of the pass that hands on a matrix each, at most.
+MATRICES = 4096
 _MARKS = 512
 
 
@@ -101,7 +108,7 @@ def _rows_of(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, cell in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist()):
-            part = np.frombuffer(cell, np.float64)
+            part = np.frombuffer(cell, np.float32).astype(np.float64)
             total[block] = total[block] + part if block in total else part
     for block, part in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "part"])
@@ -130,13 +137,13 @@ def fit_space(docs: DataFrame, idf: np.ndarray, seed: int = 2011) -> tuple[np.nd
                 total[feature[order][at]] += np.add.reduceat(image[owner[order]].astype(np.float32), at, axis=0)
         total *= idf[:, None]
         for k, part in enumerate(np.split(total, BLOCKS)) if total.any() else ():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["block", "part"])
 
     schema = "block int, part binary"
-    summed = docs.select("text").mapInArrow(task, schema).repartition(BLOCKS, "block").mapInArrow(_rows_of, schema).toArrow().sort_by("block")
+    summed = docs.select("text").coalesce(MATRICES).mapInArrow(task, schema).repartition(BLOCKS, "block").mapInArrow(_rows_of, schema).toArrow().sort_by("block")
     image = np.zeros((BLOCKS, (1 << BITS) // BLOCKS * (RANK + EXTRA)))
     for block, part in zip(summed["block"].to_pylist(), summed["part"].to_pylist()):
-        image[block] = np.frombuffer(part)
+        image[block] = np.frombuffer(part, np.float64)
     image = image.reshape(1 << BITS, RANK + EXTRA)
     omega = omega.astype(np.float64)
     shift = 1e-7 * max(np.linalg.norm(image), 1e-12)
@@ -207,57 +214,95 @@ def _inside(item: np.ndarray, region: np.ndarray) -> bool:
     return bool((windows == item).all(1).any())
 
 
-def search(docs: DataFrame, items: list[tuple[int, str]], model: dict) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, coverage, answer_coverage, start_word, end_word) of contaminated passages, best first for each pair."""
+def _queries(items: list[tuple[int, str]]) -> tuple[list[int], list[np.ndarray], pa.Array, np.ndarray]:
+    """Identifiers and word hashes of the items; their passages (side by side, the last one up to its end) and whose they are."""
     words = textvec.plain_words(pa.array([t for _, t in items], pa.string()))
     texts = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
-    parts, owner = [], []  # an item's passages: side by side, the last one up to its end
+    parts, owner = [], []
     for item, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
         for start in sorted({*range(a, max(b - 2 * HALF, a), 2 * HALF), max(b - 2 * HALF, a)}) if b > a else ():
             parts.append(b" ".join(words.word(i) for i in range(start, min(start + 2 * HALF, b))))
             owner.append(item)
-    query = _passages(textvec.words(pa.array(parts, pa.binary())), model) | {"item": np.array(owner)} if parts else None
-    shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in items], texts, query, model))
+    return [i for i, _ in items], texts, pa.array(parts, pa.binary()), np.array(owner, np.int64)
+
+
+class _Matcher:
+    """What a task holds of a block of benchmark items: matches whole documents against them."""
+
+    def __init__(self, block, model: dict):
+        self.ids, self.texts, parts, self.owner = block
+        self.model = model
+        if len(parts):
+            own = _passages(textvec.words(parts), model)
+            self.latent, self.marks = np.ascontiguousarray(own["latent"].T), np.ascontiguousarray(own["marks"].T)
+            self.parts = (slice(0, _MARKS // 64), slice(_MARKS // 64, None))
+            rare, every = (np.bitwise_count(own["marks"][:, part]).sum(1) for part in self.parts)
+            self.needs = np.where(rare >= FEW, np.ceil(RARE_SHARE * rare), 0), np.where(rare >= FEW, 0, np.ceil(SHARE * every))
+
+    def found(self, column: pa.Array) -> list[tuple]:
+        """(row, item_id, cosine, lcs, coverage, answer_coverage, start_word, end_word) of a slice's texts."""
+        words = textvec.plain_words(column)
+        if not len(self.owner) or not len(words.start):
+            return []
+        places, own = {}, _passages(words, self.model)
+        mine = np.ascontiguousarray(own["marks"].T)
+        for at in range(0, len(own["doc"]), 4096):
+            cosine = (own["latent"][at : at + 4096] @ self.latent).ravel()
+            near = np.flatnonzero(cosine >= COSINE)
+            p, q = np.divmod(near, len(self.owner))
+            for columns, need in zip(self.parts, self.needs):
+                asked = need[q]
+                both = np.zeros(len(p), np.uint8)
+                for c in range(*columns.indices(len(mine))) if asked.any() else ():
+                    both += np.bitwise_count(mine[c][at + p] & self.marks[c][q])
+                ok = both >= asked
+                near, p, q = near[ok], p[ok], q[ok]
+            for p_, q_, c in zip((at + p).tolist(), q.tolist(), cosine[near].tolist()):
+                places.setdefault((int(own["doc"][p_]), int(self.owner[q_])), []).append((c, int(own["start"][p_])))
+        out = []
+        for (doc, item), where in places.items():
+            if best := _judge(self.texts[item], words.hash, words.first[doc], words.first[doc + 1], where):
+                out.append((doc, self.ids[item], *best))
+        return out
+
+
+_FOUND = ("item_id", "cosine", "lcs", "coverage", "answer_coverage", "start_word", "end_word")
+
+
+def search(docs: DataFrame, items: list[tuple[int, str]], model: dict) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, coverage, answer_coverage, start_word, end_word) of contaminated passages, best first for each pair."""
+    shared = docs.sparkSession.sparkContext.broadcast((_queries(items), model))
 
     def task(batches):
-        ids, texts, query, model = shared.value
-        if query is None:
-            return
-        theirs = np.ascontiguousarray(query["marks"].T)
-        parts = (slice(0, _MARKS // 64), slice(_MARKS // 64, None))
-        rare, every = (np.bitwise_count(query["marks"][:, part]).sum(1) for part in parts)
-        need_rare, need_every = np.where(rare >= FEW, np.ceil(RARE_SHARE * rare), 0), np.where(rare >= FEW, 0, np.ceil(SHARE * every))
+        matcher = _Matcher(*shared.value)
         for batch in batches:
             for rows in textvec.slices(batch, "text"):
-                words = textvec.plain_words(rows.column("text"))
-                if not len(words.start):
-                    continue
-                found, own = {}, _passages(words, model)
-                mine = np.ascontiguousarray(own["marks"].T)
-                for at in range(0, len(own["doc"]), 4096):
-                    cosine = (own["latent"][at : at + 4096] @ query["latent"].T).ravel()
-                    near = np.flatnonzero(cosine >= COSINE)
-                    p, q = np.divmod(near, len(query["item"]))
-                    for columns, need in zip(parts, (need_rare, need_every)):
-                        asked = need[q]
-                        both = np.zeros(len(p), np.uint8)
-                        for c in range(*columns.indices(own["marks"].shape[1])) if asked.any() else ():
-                            both += np.bitwise_count(mine[c][at + p] & theirs[c][q])
-                        ok = both >= asked
-                        near, p, q = near[ok], p[ok], q[ok]
-                    for p_, q_, c in zip((at + p).tolist(), q.tolist(), cosine[near].tolist()):
-                        found.setdefault((int(own["doc"][p_]), int(query["item"][q_])), []).append((c, int(own["start"][p_])))
-                out = []
-                for (doc, item), places in found.items():
-                    if best := _judge(texts[item], words.hash, words.first[doc], words.first[doc + 1], places):
-                        out.append((doc, ids[item], *best))
-                if out:
-                    doc, *rest = zip(*out)
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(doc)), *(pa.array(c) for c in rest)], ["doc_id", "item_id", "cosine", "lcs", "coverage", "answer_coverage", "start_word", "end_word"])
+                if out := matcher.found(rows.column("text")):
+                    row, *rest = zip(*out)
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), *(pa.array(c) for c in rest)], ["doc_id", *_FOUND])
 
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, item_id long, cosine double, lcs long, coverage double, answer_coverage double, start_word long, end_word long")
 
 
+def without(docs: DataFrame, items: list[tuple[int, str]], model: dict) -> DataFrame:
+    """The rows of ``docs`` whose text holds none of the items: each is judged where it stands, by its text alone."""
+    inner = own_names(docs.columns)
+    text = inner[docs.columns.index("text")]
+    rows = docs.select(*renamed(docs, docs.columns, inner))
+    shared = docs.sparkSession.sparkContext.broadcast((_queries(items), model))
+
+    def task(batches):
+        matcher = _Matcher(*shared.value)
+        for batch in batches:
+            for part in textvec.slices(batch, text):
+                keep = np.ones(part.num_rows, bool)
+                keep[[f[0] for f in matcher.found(part.column(text))]] = False
+                if keep.any():
+                    yield part if keep.all() else part.filter(pa.array(keep))
+
+    return rows.mapInArrow(task, rows.schema).toDF(*docs.columns)
+
+
 def _judge(item: np.ndarray, text: np.ndarray, low: int, high: int, places: list[tuple[float, int]]):
     """The best contaminated place of an item in a document, or None."""
     best, done = None, -1
@@ -284,15 +329,29 @@ def _judge(item: np.ndarray, text: np.ndarray, low: int, high: int, places: list
     return best
 
 
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in blocks of bounded number and size, one of which is held at a time; at least one block."""
+    block, size, some = [], 0, False
+    for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id").toLocalIterator():
+        if block and (len(block) >= BLOCK_ITEMS or size + len(r.text) > BLOCK_CHARS):
+            yield block
+            block, size, some = [], 0, True
+        block.append((r.item_id, r.text))
+        size += len(r.text)
+    if block or not some:
+        yield block
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, model: dict | None = None) -> DataFrame:
     """Every (document, benchmark item) pair in which the document holds the item."""
     model = model or fit(docs)
-    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id").toLocalIterator()]
-    out = None
-    for at in range(0, max(len(items), 1), BLOCK_ITEMS):
-        block = search(docs, items[at : at + BLOCK_ITEMS], model)
-        out = block if out is None else out.union(block)
-    return out
+    return reduce(DataFrame.union, (search(docs, block, model) for block in item_blocks(benchmark)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, model: dict | None = None) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    model = model or fit(docs)
+    return reduce(lambda rows, block: without(rows, block, model), item_blocks(benchmark), docs)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -300,13 +359,5 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, with their own columns.
-
-    Rows are told apart by a key of their own, stored with them: identifiers may be null or repeated.
-    """
-    scratch = Scratch(spark, "decontaminate")
-    docs = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = contaminated(docs.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
-    found = scratch.keep(found, "found")
-    few = found.count() <= 1_000_000
-    return docs.join(F.broadcast(found) if few else found, "_row", "left_anti").drop("_row")
+    """Documents that hold no benchmark item, with their own columns."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
