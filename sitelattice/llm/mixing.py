@@ -13,9 +13,10 @@ node's children, so the whole tree is three windows over the table of leaves.
 
 Each leaf then takes whole epochs and, of the next one, the prefix in a seeded
 order (MD5 of seed, epoch and identifier) that fits its remaining budget.  The
-prefix is found in two steps so that no task ever orders a whole leaf: tokens
-are summed for each of ``BUCKETS`` ranges of the order, and only the range in
-which the budget ends is ordered row by row.
+prefix is found in steps so that no task ever orders a whole leaf: tokens are
+summed for each of 256 ranges of the order, the range in which the budget ends is
+cut into 256 again, ``STEPS`` times, and only what is left is ordered by itself,
+rows of one identifier summed first.
 
 All of it is DataFrame functions.  Sums of tokens are exact integers; budgets
 are rounded down to whole tokens.
@@ -31,9 +32,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelattice.llm.runtime import Scratch, table
+from sitelattice.llm.runtime import Scratch, own_names, renamed, table
 
-BUCKETS = 4096
+#: Steps of 256 ranges each: 16.8 million ranges of a leaf.
+STEPS = 3
 FEW_LEAVES = 100_000
 DOMAINS = 4
 LEVELS = ("domain", "lang", "source")
@@ -106,16 +108,41 @@ def plan(rows: DataFrame, scratch: Scratch, part: float, max_epochs: int, seed:
     some = F.col("tokens") > 0
     leaves = scratch.keep(leaves.select(*LEVELS, "budget", F.when(some, F.expr("budget div tokens")).otherwise(1).cast("int").alias("epochs"), F.when(some, F.expr("budget % tokens")).otherwise(0).alias("left")), "leaves")
     few = leaves.count() <= FEW_LEAVES
-    rows = _on_leaf(rows, leaves, few).withColumn("mark", _mark(seed)).withColumn("bucket", F.conv(F.substring("mark", 1, 3), 16, 10).cast("int"))
-    ranges = rows.groupBy(*LEVELS, "bucket", "left").agg(F.sum("n_tokens").alias("n"))
-    ranges = ranges.withColumn("ahead", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("n"))
-    last = ranges.where("ahead <= left").groupBy(*LEVELS).agg(F.max(F.struct("bucket", "ahead")).alias("end"))
-    edge = _on_leaf(rows, last, few).where("bucket = end.bucket")
-    place = Window.partitionBy(*LEVELS).orderBy("mark")  # rows with one mark count together
-    cuts = edge.withColumn("sum", F.col("end.ahead") + F.sum("n_tokens").over(place)).where("sum > left").groupBy(*LEVELS).agg(F.min("mark").alias("cut"))
+    edge = _on_leaf(rows, leaves, few).select(*LEVELS, "n_tokens", "left", _mark(seed).alias("mark"), F.lit(0).cast("long").alias("ahead"))
+    for step in range(STEPS):
+        # the range of the order, by the mark's next two digits, in which the leaf's budget ends
+        edge = edge.withColumn("range", F.conv(F.substring("mark", 2 * step + 1, 2), 16, 10).cast("int"))
+        ranges = edge.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"), F.first("ahead").alias("ahead"))
+        ranges = ranges.withColumn("before", F.col("ahead") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range")) - F.col("n"))
+        last = ranges.where("before <= left").groupBy(*LEVELS).agg(F.max(F.struct("range", "before")).alias("end"))
+        edge = _on_leaf(edge, scratch.keep(last, "ranges"), few).where("range = end.range").select(*LEVELS, "n_tokens", "left", "mark", F.col("end.before").alias("ahead"))
+    marks = edge.groupBy(*LEVELS, "mark").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"), F.first("ahead").alias("ahead"))  # rows with one mark count together
+    upto = F.col("ahead") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("mark"))
+    cuts = marks.withColumn("upto", upto).where("upto > left").groupBy(*LEVELS).agg(F.min("mark").alias("cut"))
     return scratch.keep(_on_leaf(leaves, cuts, few, "left").select(*LEVELS, "budget", "epochs", "cut"), "plan"), few
 
 
+def _levels(domain: Column | None) -> dict[str, Column]:
+    return {"domain": default_domain() if domain is None else domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def counted(docs: DataFrame, scratch: Scratch, domain: Column | None = None) -> DataFrame:
+    """doc_id, the levels and n_tokens of each row of ``docs``, stored."""
+    return scratch.keep(docs.select("doc_id", *(c.alias(n) for n, c in _levels(domain).items()), word_count(F.col("text")).alias("n_tokens")), "tokens")
+
+
+def _copies(seed: int) -> Column:
+    return F.col("epochs") + F.when(F.col("cut").isNull() | (_mark(seed) < F.col("cut")), 1).otherwise(0)
+
+
+def allocate(docs: DataFrame, part: float = 0.7, max_epochs: int = 2, seed: int = 17, weights: dict[str, Column] | None = None, domain: Column | None = None) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens, the leaf's budget, and copies, for each row of ``docs``; words are counted once."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows = counted(docs, scratch, domain)
+    leaf_plan, few = plan(rows, scratch, part, max_epochs, seed, weights)
+    return _on_leaf(rows, leaf_plan, few).select("doc_id", *LEVELS, "n_tokens", "budget", _copies(seed).alias("copies"))
+
+
 def mix(docs: DataFrame, keep: list[str], part: float = 0.7, max_epochs: int = 2, seed: int = 17, weights: dict[str, Column] | None = None, domain: Column | None = None) -> DataFrame:
     """Columns ``keep`` of every row of ``docs`` with _leaf struct<domain, lang, source>, _budget of the leaf and _copies.
 
@@ -124,24 +151,22 @@ def mix(docs: DataFrame, keep: list[str], part: float = 0.7, max_epochs: int = 2
     rows themselves are not shuffled: each is compared with its leaf's mark.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    level = {"domain": default_domain() if domain is None else domain, "lang": F.col("lang"), "source": F.col("source")}
-    rows = scratch.keep(docs.select("doc_id", *(c.alias(n) for n, c in level.items()), word_count(F.col("text")).alias("n_tokens")), "tokens")
+    rows = counted(docs, scratch, domain)
     leaf_plan, few = plan(rows, scratch, part, max_epochs, seed, weights)
     scratch.drop(rows)
-    rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("_row"), "doc_id", *(c.alias(n) for n, c in level.items()))
-    rows = _on_leaf(rows, leaf_plan, few)
-    taken = F.when(F.col("cut").isNull() | (_mark(seed) < F.col("cut")), 1).otherwise(0)
-    return rows.select("_row.*", F.struct(*LEVELS).alias("_leaf"), F.col("budget").alias("_budget"), (F.col("epochs") + taken).alias("_copies"))
+    rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("_row"), "doc_id", *(c.alias(n) for n, c in _levels(domain).items()))
+    return _on_leaf(rows, leaf_plan, few).select("_row.*", F.struct(*LEVELS).alias("_leaf"), F.col("budget").alias("_budget"), _copies(seed).alias("_copies"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("n_tokens", word_count(F.col("text")))
-    return mix(docs, ["doc_id", "n_tokens"]).select("doc_id", "_leaf.*", "n_tokens", F.col("_budget").alias("budget"), F.col("_copies").alias("copies"))
+    return allocate(table(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents, each at most once, with their own columns."""
-    return mix(docs, docs.columns, max_epochs=1).where("_copies > 0").drop("_leaf", "_budget", "_copies")
+    inner = own_names(docs.columns)
+    rows = mix(docs.select(*renamed(docs, docs.columns, inner), *(F.col(c) for c in ("doc_id", "text", "lang", "source"))), inner, max_epochs=1)
+    return rows.where("_copies > 0").select(*inner).toDF(*docs.columns)
 
 
 def _shared_sql(name: str, rows: str, parent: str, own: str, budget: str) -> str:
@@ -158,7 +183,8 @@ def _shared_sql(name: str, rows: str, parent: str, own: str, budget: str) -> str
 
 OP5_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens,
+  SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens,
          CASE WHEN source IS NULL THEN 'domain-none' ELSE 'domain-' || (('0x' || substr(md5(source), 1, 2))::INT % {DOMAINS}) END AS domain
   FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 2 * sum(n_tokens)::BIGINT AS supply, sqrt(sum(n_tokens) + 1) AS w FROM d GROUP BY ALL),
