@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelattice.llm import textvec
-from sitelattice.llm.runtime import Scratch, fold, segment_sum, table
+from sitelattice.llm.runtime import Scratch, fold, own_names, renamed, segment_sum, table
 
 HEAD, TAILS = 1024, 64
 BOS = HEAD + TAILS  # only as context
@@ -102,10 +102,10 @@ def _most_frequent(counts: DataFrame, most: int):
     if not kept.any():
         return None
     least = int(sizes["n"].to_numpy()[kept][-1])
-    found = counts.where(F.col("n") >= least).toArrow()
-    word, n, tail = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy(), found["tail"].to_numpy()
+    found = counts.where(F.col("n") >= least).select("word", "n").toArrow()
+    word, n = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(word)
-    return word[order], n[order], tail[order]
+    return word[order], n[order]
 
 
 def class_of(value: np.ndarray, tail: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -242,16 +242,17 @@ def fit(train: DataFrame, scratch: Scratch) -> dict:
     counts = scratch.keep(count_words(train), "counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     frequent = _most_frequent(counts, FREQUENT)
-    words, n, tail = frequent or (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-    top = np.lexsort((words, -n))[:HEAD]
-    head = np.sort(words[top])
+    words, n = frequent or (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).select("word", "n").toArrow()  # HEAD rows, without a sort of the whole
+    head, head_n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    head, head_n = head[np.argsort(head)], head_n[np.argsort(head)]
     tails = counts.where(~F.col("word").isin(head.view(np.int64).tolist())) if len(head) else counts
     tails = tails.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()  # TAILS rows
     in_tail = np.zeros((2, TAILS))
     for row in tails:
         in_tail[:, row.tail] = row.n, row.words
     share = np.zeros(BOS)
-    share[: len(head)] = n[np.searchsorted(words, head)]
+    share[: len(head)] = head_n
     share[HEAD:] = in_tail[0] + ALPHA
     model = LogBilinear(share / share.sum())
     if total:
@@ -265,8 +266,8 @@ def score(docs: DataFrame, model: dict, scratch: Scratch, keep: list[str]) -> Da
     below = model["total"] + ALPHA * (model["distinct"] + 1)
     within = model["in_tail"][0] + ALPHA * (model["in_tail"][1] + 1)
     given = docs.sparkSession.sparkContext.broadcast((model["words"], model["n"], model["head"], within, model["tables"]))
-    inner = [f"_k{i}" for i in range(len(keep))]
-    chosen = docs.select(*(F.col(c).alias(i) for c, i in zip(keep, inner)), F.col("text").alias("text"))
+    inner = own_names(keep)
+    chosen = docs.select(*renamed(docs, keep, inner), "text")
     schema = chosen.select(*inner).schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("neural", "double"), ("word", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.IntegerType())), ("tail", T.ArrayType(T.IntegerType()))):
         schema = schema.add(name, kind)
