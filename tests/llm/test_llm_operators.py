@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sitelattice.llm import decontaminate, exact_dedup, language_id, language_model, minhash, mixing, quality, sharding, substrings, textvec, toxicity
-from sitelattice.llm.runtime import Scratch, components
+from sitelattice.llm.runtime import Scratch, components, in_one_task
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -131,6 +131,25 @@ def test_isotonic_is_monotone():
     assert (np.diff(value) >= 0).all() and (np.diff(at) >= 0).all()
 
 
+def test_isotonic_against_the_min_max_formula_with_ties():
+    rng = random.Random(5)
+    for _ in range(60):
+        rows = [(rng.randrange(6), rng.randrange(2)) for _ in range(rng.randrange(1, 25))]
+        levels = sorted({m for m, _ in rows})
+        mean = lambda a, b: (lambda x: sum(x) / len(x))([t for m, t in rows if a <= m <= b])
+        want = [max(min(mean(a, b) for b in levels if b >= m) for a in levels if a <= m) for m in levels]
+        rng.shuffle(rows)
+        at, value = toxicity.isotonic(*(np.array(c, float) for c in zip(*rows)))
+        assert np.allclose(np.interp(levels, at, value), want)
+
+
+@pytest.mark.parametrize("most, rows", [(10**6, 200), (1005, 100), (5, 0)])
+def test_a_fit_is_bounded_in_bytes(spark, most, rows):
+    sample = spark.range(200, numPartitions=3).select(F.col("id"), F.lit("ten bytes!").alias("text"))
+    got = in_one_task(sample, [F.desc("id")], "text", most, lambda t: (t.num_rows, t["id"][0].as_py()))
+    assert got == ((rows, 199) if rows else None)
+
+
 def test_toxicity_sees_through_look_alikes(spark):
     base = toxicity.hashes_of(toxicity.LEXICON)
     none = np.zeros(0, np.uint64)
@@ -141,21 +160,50 @@ def test_toxicity_sees_through_look_alikes(spark):
 # ---- language ----
 
 
-def test_language_against_plain_counts(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = {r.doc_id: r for r in language_id.op8(spark, SF).collect()}
+def bucket_of(gram, bits=language_id.BITS):
+    """A character n-gram's bucket, by the hash that the operator states."""
+    value = 0
+    for i, c in enumerate(gram):
+        value = ord(c) if i == 0 else (value * 0x01000193 + ord(c)) & 0xFFFFFFFF
+    for shift, factor in ((15, 0x9E3779B1), (13, 0x85EBCA6B)):
+        value = value * factor & 0xFFFFFFFF
+        value ^= value >> shift
+    return (value ^ len(gram) * 0x51ED27 & 0xFFFFFFFF) & (1 << bits) - 1
+
+
+def grams_of(text):
+    plain = "".join(" " if c in "\t\n\x0b\x0c\r" else c.lower() if c.isascii() else c for c in text or "")
+    return Counter(bucket_of(plain[i : i + n]) for n in language_id.ORDERS for i in range(len(plain) - n + 1))
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_language_against_plain_bayes(spark, monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000")
     rows = docs.collect()
-    assert len(out) == len(rows)
-    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    grams, counts, number = {r.doc_id: grams_of(r.text) for r in rows}, defaultdict(Counter), Counter()
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts[r.lang] += grams[r.doc_id]
+            number[r.lang] += 1
+    langs, size = sorted(counts), 1 << language_id.BITS
+    below = {k: sum(counts[k].values()) + size * language_id.ALPHA for k in langs}
+    train = docs.where(~F.col("doc_id").isin([r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]))
+    got = {r.doc_id: r for r in language_id.identify(docs, train, ["doc_id"]).collect()}
+    assert len(got) == len(rows) and len(langs) > 2
+    for r in rows[:120]:
+        log = [math.log(number[k] / sum(number.values())) + sum(n * math.log((counts[k][g] + language_id.ALPHA) / below[k]) for g, n in grams[r.doc_id].items()) for k in langs]
+        best = max(range(len(langs)), key=lambda i: log[i])
+        assert got[r.doc_id].lang_pred == (langs[best] if any(c.isalpha() for c in r.text or "") else "und")
+        if got[r.doc_id].lang_pred != "und":
+            assert math.isclose(got[r.doc_id].score, 1 / sum(math.exp(x - log[best]) for x in log), abs_tol=2e-3)
+
+
+def test_language_of_held_out_documents(spark):
+    out = {r.doc_id: r for r in language_id.op8(spark, SF).collect()}
+    held = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert sum(out[r.doc_id].lang_pred == r.lang for r in held) / len(held) > 0.95
     assert all(out[r.doc_id].held_out for r in held)
-    counts = defaultdict(Counter)
-    for r in rows:
-        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
-            data = r.text.encode().lower().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     "))
-            counts[r.lang].update(data[i : i + 2] for i in range(len(data) - 1))
-    found = language_id.count_ngrams(docs.where(~F.col("doc_id").isin([r.doc_id for r in held])), (2,), 15)
-    assert {r.lang: r.n for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()} == {k: sum(c.values()) for k, c in counts.items()}
 
 
 def test_language_on_odd_rows(spark, odd, empty):
@@ -163,6 +211,8 @@ def test_language_on_odd_rows(spark, odd, empty):
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (0, 1, 2, 10))
     assert got[5].lang_pred == "en" and 0 < got[5].score <= 1
     assert {r.lang_pred for r in language_id.identify(odd, empty, ["doc_id"]).collect()} == {"und"}
+    clash = odd.select("doc_id", "text", "lang", F.col("rep").alias("_letter"), F.col("rep").alias("_best"), F.col("rep").alias("lang_pred_"))
+    assert language_id.identify(clash, odd, ["doc_id", "_letter", "_best"]).columns == ["doc_id", "_letter", "_best", "lang_pred", "score"]
     assert language_id.identify(empty, odd, ["doc_id"]).count() == 0
 
 
@@ -230,11 +280,20 @@ def test_decontamination_on_odd_rows(spark, odd, empty):
 def test_decontamination_stage_with_null_and_repeated_identifiers(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").orderBy(F.desc(F.length("text"))).first().text
     rows = [(None, item, "leak"), (None, "a clean text of no item", "clean"), (7, item, "leak"), (7, "another clean text", "clean"), (8, None, "clean")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string").withColumn("_row", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("_k0", F.lit(3))
     got = decontaminate.stage(spark, docs, SF)
     assert got.columns == docs.columns and sorted(r.kind for r in got.collect()) == ["clean"] * 3
 
 
+def test_benchmark_in_blocks(spark, monkeypatch):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    model = decontaminate.fit(docs)
+    want = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, model).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
+    assert want and sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, model).collect()) == want
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in decontaminate.clean(docs, items, model).collect()} == {d for d, _ in want}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(60):
@@ -270,20 +329,64 @@ def test_sharding_law(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
-def test_sharding_with_a_hot_text(spark):
-    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text for a third of the rows").otherwise(F.concat(F.lit("text number "), F.col("id").cast("string"), F.lit(" and more of it"))).alias("text"))
+def numbered_texts(spark, n, hot):
+    text = F.concat(F.lit("text number "), F.col("id").cast("string"), F.lit(" and more of it"))
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.when(hot, "one text for very many of the rows").otherwise(text).alias("text"))
+
+
+@pytest.mark.parametrize("null_ids", [False, True])
+def test_sharding_with_a_hot_text(spark, null_ids):
+    docs = numbered_texts(spark, 6000, F.col("id") % 3 == 0)
+    if null_ids:
+        docs = docs.withColumn("doc_id", F.lit(None).cast("long"))
     load = check_shards(sharding.shard(docs).collect())
     assert max(load) - min(load) <= 0.02 * sum(load) / 8
 
 
+def shards_of_texts(rows):
+    where = defaultdict(set)
+    for r in rows:
+        where[r.text_crc32].add(r.shard)
+    return where
+
+
+def test_sharding_spreads_no_text_but_one_that_exceeds_a_shard(spark):
+    small = spark.range(100, 300).select((F.col("id") + 10_000).alias("doc_id"), F.concat(F.lit("a group of five "), (F.col("id") % 40).cast("string")).alias("text"))
+    hot = numbered_texts(spark, 3000, F.lit(True))
+    where = shards_of_texts(sharding.shard(hot.union(small), slots=4).collect())  # every group shares a slot with others
+    assert sorted(map(len, where.values())) == [1] * 40 + [8]
+    fits = numbered_texts(spark, 3000, F.col("id") < 300)  # four fifths of a shard
+    assert set(map(len, shards_of_texts(sharding.shard(fits).collect()).values())) == {1}
+
+
+def test_sharding_edits_a_stored_map(spark, odd):
+    path = Scratch(spark, "map").path("map")
+    docs = numbered_texts(spark, 4000, F.lit(False))
+    place = lambda rows: {r.doc_id: r.shard for r in rows}
+    first = sharding.shard(docs, map_path=path).collect()
+    version = sharding.latest_version(spark, path)
+    again = sharding.shard(docs, map_path=path).collect()
+    assert len(first) == len(again) == 4000 and place(first) == place(again) and sharding.latest_version(spark, path) == version
+    more = sharding.shard(docs, shards=9, map_path=path).collect()
+    load = check_shards(more, 9)
+    moved = {i for i, s in place(more).items() if s != place(first)[i]}
+    assert max(load) - min(load) <= 0.02 * sum(load) / 9
+    assert 0.05 * 4000 < len(moved) < 0.2 * 4000 and sum(place(more)[i] == 8 for i in moved) > 0.97 * len(moved)
+    assert sharding.latest_version(spark, path) == version + 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.save_map(spark, path, version, {(0, 0): 1})
+
+
 def test_sharding_versions_and_odd_rows(spark, odd, empty):
     path = Scratch(spark, "map").path("map")
     rows = sharding.shard(odd, shards=3, map_path=path).collect()
     check_shards(rows, 3)
     assert len(rows) == odd.count() and {r.size for r in rows if r.doc_id in (0, 1)} == {1}
-    first, second = sharding.load_map(spark, path, 0), sharding.load_map(spark, path, 1)
+    last = sharding.latest_version(spark, path)
+    first, second = sharding.load_map(spark, path, 0), sharding.load_map(spark, path, last)
     assert first.count() == second.count() and first.join(second, ["vslot", "sub"]).count() == first.count()
-    assert sharding.shard(empty).count() == 0
+    assert sharding.shard(empty).count() == 0 and sharding.stage(spark, empty, SF).count() == 0
+    assert sharding.stage(spark, odd, SF).count() == odd.count()
 
 
 # ---- mixing ----
@@ -309,6 +412,13 @@ def test_mixing_prefix_on_odd_rows(spark, odd, empty):
     assert all(used[leaf] <= budget[leaf] for leaf in budget)
     assert mixing.mix(empty, ["doc_id"]).count() == 0
     assert mixing.stage(spark, odd, SF).columns == odd.columns
+    assert mixing.stage(spark, empty, SF).count() == 0
+
+
+def test_mixing_of_rows_without_identifiers(spark):
+    docs = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    assert {r.copies for r in mixing.allocate(docs, part=0.5, max_epochs=1).collect()} == {0}  # they share a place, which the budget does not reach
+    assert {r.copies for r in mixing.allocate(docs, part=1.0, max_epochs=1).collect()} == {1}
 
 
 # ---- exact duplicates ----
@@ -337,6 +447,18 @@ def test_exact_dedup(spark, odd, tmp_path, digest):
     assert len(kept) == len(groups)
 
 
+def test_exact_dedup_goes_on_from_an_earlier_run(spark, odd, tmp_path):
+    path, checkpoint = f"{tmp_path}/t/", f"file://{tmp_path}/state"
+    odd.coalesce(1).write.parquet(path)
+    exact_dedup.dedup(spark, path, checkpoint=checkpoint).collect()
+    odd.where("doc_id IN (5, 6, 9)").withColumn("doc_id", F.col("doc_id") + 100).coalesce(1).write.mode("append").parquet(path)
+    rows = {r.doc_id: r for r in exact_dedup.dedup(spark, path, checkpoint=checkpoint).collect()}
+    assert (rows[5].keep_id, rows[5].group_size, rows[106].kept) == (106, 5, True)
+    assert (rows[9].keep_id, rows[9].group_size) == (109, 2) and rows[7].group_size == 1
+    batches = [p.name for p in (tmp_path / "state/commits").iterdir() if p.name.isdigit()]
+    assert len(batches) >= 2
+
+
 def test_exact_dedup_of_nothing(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "t"))
     assert exact_dedup.dedup(spark, str(tmp_path / "t")).count() == 0
@@ -398,7 +520,18 @@ def test_near_duplicates_on_odd_rows(spark, odd, empty):
     assert {got[i].component_id for i in (5, 6, 7, 11)} == {5}
     assert got[None].component_id is None and got[None].kept
     assert minhash.near_duplicates(empty).count() == 0
-    assert minhash.stage(spark, odd, SF).columns == odd.columns
+    clash = odd.withColumn("_id", F.lit(1)).withColumn("d1", F.lit(2)).withColumn("component_id", F.lit(3))
+    kept = minhash.stage(spark, clash, SF)
+    assert kept.columns == clash.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert {0, 1, 2, None} <= set(ids) and not {6, 7, 11} & set(ids)
+    assert minhash.stage(spark, empty, SF).count() == 0
+
+
+def test_crowded_documents_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PARTNERS", 3)
+    docs = spark.createDataFrame(families(60, 2, 60, 16), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()} == plain_components(docs.collect())
 
 
 # ---- repeated passages ----
@@ -570,6 +703,19 @@ def test_language_model_on_odd_rows(spark, odd, empty):
 # ---- the pipeline ----
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd, empty):
+    extra = odd.withColumn("_row", F.lit(1)).withColumn("_id", F.lit(1)).withColumn("_k0", F.lit(1)).withColumn("_leaf", F.lit(1)).withColumn("shard", F.lit(1))
+    for docs in (extra, empty):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == columns, name
+        kept = docs.count()
+        rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert len(rows) == kept
+        check_shards(rows)
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
