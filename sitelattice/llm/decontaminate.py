@@ -122,20 +122,19 @@ def fit_space(docs: DataFrame, idf: np.ndarray, seed: int = 2011) -> tuple[np.nd
     def task(batches):
         idf, omega = given.value
         weighted = omega * idf[:, None]
-        total = np.zeros(omega.shape, np.float64)
+        total = np.zeros(omega.shape[::-1], np.float64)
         for batch in batches:
             for rows in textvec.slices(batch, "text"):
                 words = textvec.plain_words(rows.column("text"))
                 if not len(words.start):
                     continue
                 feature, (start, _) = _feature(words), _halves(words)
-                owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
-                norm = np.sqrt(np.bincount(owner, idf[feature] ** 2))
+                size = np.diff(start)
+                norm = np.sqrt(np.bincount(np.repeat(np.arange(len(size)), size), idf[feature] ** 2))
                 image = _sums(weighted, feature, start) / np.maximum(norm, 1e-6)[:, None] ** 2
-                order = np.argsort(feature, kind="stable")
-                at = np.flatnonzero(np.diff(feature[order], prepend=-1))
-                total[feature[order][at]] += np.add.reduceat(image[owner[order]].astype(np.float32), at, axis=0)
-        total *= idf[:, None]
+                for column, out in zip(np.ascontiguousarray(image.T, np.float64), total):
+                    out += np.bincount(feature, np.repeat(column, size), len(out))
+        total = np.ascontiguousarray(total.T) * idf[:, None]
         for k, part in enumerate(np.split(total, BLOCKS)) if total.any() else ():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["block", "part"])
 
