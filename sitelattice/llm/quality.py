@@ -69,10 +69,17 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (keys & np.uint64((1 << 18) - 1)).astype(np.int32), np.searchsorted(owner, np.arange(len(words.at)))
 
 
+def _pieces(rows: int, most: int = 512):
+    """Row ranges that are worked on at once, so that what is computed from them stays small."""
+    return ((a, min(a + most, rows)) for a in range(0, rows, most))
+
+
 def log_count_ratio(ids: np.ndarray, first: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    owner = np.repeat(y > 0, np.diff(first))
-    good = np.bincount(ids[owner], minlength=SIZE) + alpha
-    bad = np.bincount(ids[~owner], minlength=SIZE) + alpha
+    good, bad = np.full(SIZE, alpha), np.full(SIZE, alpha)
+    for a, b in _pieces(len(y)):
+        owner, part = np.repeat(y[a:b] > 0, np.diff(first[a : b + 1])), ids[first[a] : first[b]]
+        good += np.bincount(part[owner], minlength=SIZE)
+        bad += np.bincount(part[~owner], minlength=SIZE)
     return np.log(good / good.sum()) - np.log(bad / bad.sum())
 
 
@@ -82,10 +89,12 @@ def dual_coordinate_descent(ids, first, y, ratio, rows, cost=1.0, epochs=12, tol
     Rows are the ratio-scaled indicators at unit length, with a constant 1 for the intercept.
     """
     weight, intercept, dual = np.zeros(SIZE), 0.0, np.zeros(len(y))
-    value = ratio.astype(np.float32)[ids]
-    size = np.maximum(np.sqrt(segment_sum(value.astype(np.float64) ** 2, first)), 1e-12)
-    value /= np.repeat(size, np.diff(first)).astype(np.float32)
-    norm = segment_sum(value.astype(np.float64) ** 2, first) + 1
+    value, norm = ratio.astype(np.float32)[ids], np.ones(len(y))
+    for a, b in _pieces(len(y)):
+        part, inside = value[first[a] : first[b]], first[a : b + 1] - first[a]
+        size = np.maximum(np.sqrt(segment_sum(part.astype(np.float64) ** 2, inside)), 1e-12)
+        part /= np.repeat(size, np.diff(inside)).astype(np.float32)
+        norm[a:b] += segment_sum(part.astype(np.float64) ** 2, inside)
     order, rng, ends = np.array(rows), np.random.default_rng(seed), first.tolist()
     for _ in range(epochs):
         rng.shuffle(order)
@@ -106,8 +115,12 @@ def dual_coordinate_descent(ids, first, y, ratio, rows, cost=1.0, epochs=12, tol
 
 
 def margins(ids, first, ratio, weight, intercept) -> np.ndarray:
-    size = np.sqrt(segment_sum(ratio[ids].astype(np.float64) ** 2, first))
-    return segment_sum((ratio * weight)[ids].astype(np.float64), first) / np.maximum(size, 1e-12) + intercept
+    out, both = np.zeros(len(first) - 1), ratio * weight
+    for a, b in _pieces(len(out)):
+        part, inside = ids[first[a] : first[b]], first[a : b + 1] - first[a]
+        size = np.sqrt(segment_sum(ratio[part].astype(np.float64) ** 2, inside))
+        out[a:b] = segment_sum(both[part].astype(np.float64), inside) / np.maximum(size, 1e-12)
+    return out + intercept
 
 
 def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
