@@ -14,7 +14,7 @@ SIZE_PARAMETERS = ("w", "width", "h", "height", "dpr", "q", "quality", "fit", "c
 REJECTED_SCHEMES = ("data", "blob", "mailto", "tel", "javascript")
 
 # fixed values: project pages
-SLUG_TEMPLATES = ("/work/%s", "/works/%s", "/projects/%s", "/case-studies/%s", "/case-study/%s", "/portfolio/%s")
+SLUG_PREFIXES = ("/work/", "/works/", "/projects/", "/case-studies/", "/case-study/", "/portfolio/")
 NAVIGATION_SLUGS = (
     "about", "contact", "insights", "news", "blog", "privacy", "privacy-policy", "imprint", "legal", "careers", "jobs",
     "services", "service", "team", "product-design", "brands", "content", "code-of-conduct",
@@ -48,12 +48,23 @@ SANITY_IMAGE = r"(?i)(image-[a-f0-9]+-\d+x\d+-(?:jpg|jpeg|png|webp|gif|avif))"
 SANITY_PARTS = r"(?i)^image-([a-f0-9]+)-(\d+x\d+)-([a-z0-9]+)$"
 PROJECT_URL = r'(?is)"project_url"\s*:\s*"([^"]+)"'
 SLUG = r'(?i)"slug"\s*:\s*"([a-z0-9][a-z0-9\-]+)"'
+CLASSIC_WIX_SCAN = r"""https://static\.wixstatic\.com/media/[^"'\s]+"""
+CLASSIC_DATO_SCAN = r"""(?i)https://(?:www\.)?datocms-assets\.com/[^\s"'<>&]+\.(?:jpg|jpeg|png|webp|avif|gif)"""
+CLASSIC_VIDEO_SCAN = r"""(?i)https://[^\s"']+\.(?:mp4|mov|webm|m4v)"""
+IMAGE_SOURCE = r"""(?is)<img\b[^>]*?\ssrc\s*=\s*["']([^"']+)["']"""
+CARGO_HOST = "freight.cargo.site"
+CARGO_ORIGINAL = r"""https://freight\.cargo\.site/t/original/[^"'\s<>]+\.(?:jpg|jpeg|png|gif|JPG|JPEG|PNG)"""
+JSON_SCRIPT = r"""(?is)<script[^>]*\btype\s*=\s*["']text/json["'][^>]*>(.*?)</script>"""
+
+# fixed values: white space, line ends included
+WHITE_SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # fixed values: limits
 MAX_PAGES, MAX_PAGES_CLASSIC = 100, 40
 MIN_PIXELS, MIN_PIXELS_CLASSIC = 900, 1100
 MAX_VIDEO_BYTES = 50 * 1024 * 1024
 MAX_IMAGES = 200
+MAX_IMAGES_RANGE = (1, 1000)
 NEAR_BITS, NEAR_BITS_CLASSIC = 8, 12
 MAX_FILENAME = 120
 MAX_SLUGS, MAX_SLUGS_CLASSIC = 24, 12

@@ -24,6 +24,11 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def strip(value) -> Column:
+    """The text without white space and line ends around it."""
+    return F.btrim(_text(value), F.lit(C.WHITE_SPACE))
+
+
 def scheme(url) -> Column:
     return F.nullif(F.regexp_extract(_text(url), _SYNTAX, 1), F.lit(""))
 
@@ -162,7 +167,7 @@ def normalize(raw, base, classic: bool = False) -> Column:
     The classic variant resolves before it unwraps and leaves entities alone.
     """
     useless = rf"(?i)^(?:({'|'.join(C.REJECTED_SCHEMES)}):.*)?$" if not classic else rf"(?i)^({'|'.join(C.REJECTED_SCHEMES)}):"
-    clean = F.trim(_text(raw)) if classic else decode_entities(F.trim(_text(raw)))
+    clean = strip(raw) if classic else decode_entities(strip(raw))
 
     def finish(text):
         full = next_image(resolve(text, base)) if classic else resolve(next_image(text), base)
@@ -179,7 +184,7 @@ def start_url(raw) -> Column:
 
 def typed_url(raw, desktop: bool = False) -> Column:
     """An address as a person types it: https before it unless it begins with http."""
-    text = F.trim(_text(raw))
+    text = strip(raw)
     if desktop:
         text = F.regexp_replace(text, r"^/+|/+$", "")
     return F.when(F.lower(text).startswith("http"), text).otherwise(F.concat(F.lit("https://"), text))
@@ -189,16 +194,18 @@ def is_page(url) -> Column:
     return ~extension(url).isin(*C.NON_PAGE_EXTENSIONS)
 
 
-def internal_link(raw, page, site, strict_origin: bool = False) -> Column:
+def internal_link(raw, page, site, strict_origin: bool = False, legacy: bool = False) -> Column:
     """The page address behind a link if it is on the site, another page, and not a file; else null.
 
-    By default the origin is compared as a bare prefix; ``strict_origin`` asks for a whole one.
+    By default the origin is compared as a bare prefix; ``strict_origin`` asks for a
+    whole one.  The ``legacy`` rule also passes over addresses with certain parts.
     """
     home = origin(site)
 
     def kept(full):
         same = origin(full) == home if strict_origin else full.startswith(home)
-        return F.when(same & (full != _text(site)) & is_page(full), strip_fragment_and_query(full))
+        wanted = ~F.lower(full).rlike("|".join(C.SKIPPED_LINK_PARTS)) if legacy else F.lit(True)
+        return F.when(same & (full != _text(site)) & wanted & is_page(full), strip_fragment_and_query(full))
 
     return _let(normalize(raw, page), kept)
 

@@ -12,22 +12,24 @@ from sitelattice.functions import constants as C
 
 
 def _folder(spark) -> str:
-    """The shared folder that the cluster names; a temporary one where there is none."""
+    """The shared folder that the cluster names; a temporary one where a local session has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
     return f"{folder.rstrip('/')}/crawl-{uuid.uuid4().hex}"
 
 
-def crawl(edges: DataFrame, starts: DataFrame, most: int = C.MAX_PAGES) -> DataFrame:
+def crawl(edges: DataFrame, starts: DataFrame, most: int = C.MAX_PAGES, max_depth: int | None = None) -> DataFrame:
     """(site, page, depth, visit_rank) of a first-in-first-out crawl from each site's start.
 
     ``edges(src, dst, pos)`` are links in page order, ``starts(site, page)``.  All
     sites go level by level together.  Within a level pages come in the order of
     their first discovery: by the parent's rank, then by the link's place.  A
     page is visited once, and a site stops at ``most`` pages, so a site's rows are
-    bounded and a window over a site is small.  Each level is written to the
-    shared folder, which cuts the lineage.
+    bounded and a window over a site is small.  Pages deeper than ``max_depth`` are
+    not visited.  Each level is written to the shared folder, which cuts the lineage.
     """
     spark, root = edges.sparkSession, _folder(edges.sparkSession)
     level = starts.select("site", "page", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("visit_rank"))
@@ -36,7 +38,7 @@ def crawl(edges: DataFrame, starts: DataFrame, most: int = C.MAX_PAGES) -> DataF
         level.write.parquet(f"{root}/level={depth}")
         visited = spark.read.schema("site " + level.schema["site"].dataType.simpleString() + ", page " + level.schema["page"].dataType.simpleString() + ", depth int, visit_rank long").parquet(*(f"{root}/level={d}" for d in range(depth + 1)))
         frontier = visited.where(F.col("depth") == depth)
-        if depth and frontier.isEmpty():
+        if depth == max_depth or depth and frontier.isEmpty():
             return visited
         count = visited.groupBy("site").agg(F.count("*").alias("have"))
         found = frontier.join(edges, F.col("page") == F.col("src")).select("site", F.col("dst").alias("page"), F.struct("visit_rank", "pos").alias("seen"))

@@ -6,7 +6,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,6 @@ from sitelattice.functions import constants as C
 from sitelattice.functions import fingerprints as fp
 from sitelattice.functions import names
 
-BANDS, BAND_BITS = 4, 16
-
 
 def _greedy(batches, most: int, bits: int, dedupe: bool):
     """Rows sorted by site and address; the state is one site's saved images, at most ``most``."""
@@ -79,37 +77,102 @@ def fingerprint_classes(images: DataFrame) -> DataFrame:
     return images.where("r IS NOT NULL").groupBy("r", "g", "b").agg(F.min("asset_url").alias("rep"), F.count("*").alias("n"))
 
 
+def _band_masks(bits: int) -> list[int]:
+    """``bits + 1`` bands of a 64-bit hash, as signed masks."""
+    edge = [64 * i // (bits + 1) for i in range(bits + 2)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(edge, edge[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def near_pairs(classes: DataFrame, bits: int = C.NEAR_BITS) -> DataFrame:
     """(a, b): representatives of distinct fingerprints that are near.
 
-    The red hash is cut into four bands; if 64 bits differ in at most ``bits``, some
-    band differs in at most ``bits // 4``.  One side lists all values within that
-    distance of its bands, so the pairs come from an equi-join and none is missed.
+    Each hash is cut into ``bits + 1`` bands: two that differ in at most ``bits`` bits
+    agree in one of them.  As all channels must be near, a pair agrees in a band of
+    red and in a band of green; each such pair of bands is a key of an equi-join, so
+    none is missed, and images alike in one channel only do not meet.  A pair is
+    looked at under the first of its keys only, so none comes twice.
     """
-    radius = bits // BANDS
-    masks = [m for m in range(1 << BAND_BITS) if m.bit_count() <= radius]
-    # fixed by the radius, from a rule: 137 values for 8 bits, 697 for 12
-    around = F.transform(F.from_json(F.lit(str(masks)), "array<int>"), lambda m: m)
-    cut = lambda i: F.shiftrightunsigned("r", BAND_BITS * i).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
-    bands = F.array(*(F.struct(F.lit(i).alias("i"), cut(i).alias("v")) for i in range(BANDS)))
-    rows = classes.select("rep", "r", "g", "b", F.explode(bands).alias("band"))
-    left = rows.select(F.col("rep").alias("a"), *(F.col(c).alias(f"a{c}") for c in "rgb"), F.col("band.i").alias("i"), F.explode(around).alias("m"), F.col("band.v").alias("own")).withColumn("v", F.col("own").bitwiseXOR(F.col("m"))).drop("own", "m")
-    right = rows.select(F.col("rep").alias("b"), *(F.col(c).alias(f"b{c}") for c in "rgb"), F.col("band.i").alias("i"), F.col("band.v").alias("v"))
+    masks = _band_masks(bits)
+    band = lambda c, i: F.struct(F.lit(i).alias("i"), F.col(c).bitwiseAND(F.lit(masks[i])).alias("v"))
+    rows = classes.select("rep", "r", "g", "b", *(F.array(*(band(c, i) for i in range(len(masks)))).alias(f"{c}s") for c in "rg"))
+    rows = rows.withColumn("x", F.explode("rs")).withColumn("y", F.explode("gs"))
+    side = lambda s: rows.select(F.col("rep").alias(s), *(F.col(c).alias(f"{s}{c}") for c in "rgb"), F.col("x.i").alias("i"), F.col("y.i").alias("j"), F.col("x.v").alias("v"), F.col("y.v").alias("w"))
+
+    def first_equal(c: str) -> Column:
+        differ = F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))
+        return F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)))
+
     near = fp.is_near({c: F.col(f"a{c}") for c in "rgb"}, {c: F.col(f"b{c}") for c in "rgb"}, bits)
-    return left.join(right, ["i", "v"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = side("a").join(side("b"), ["i", "j", "v", "w"]).where((F.col("a") < F.col("b")) & near)
+    return pairs.where((first_equal("r") == F.col("i")) & (first_equal("g") == F.col("j"))).select("a", "b")
 
 
-def unique_names(files: DataFrame, folder: str = "folder", name: str = "name", order: str = "asset_url") -> DataFrame:
-    """``files`` with ``file_name``: sanitised, and numbered where a folder has it more than once.
+def _free_names(batches, folder: str, columns: list[str], classic: bool):
+    """Rows sorted by folder and order; the state is the names of one folder."""
+    at, taken, following = object(), set(), {}
 
-    Numbers that clash with a name that is itself numbered move on to the next free
-    one: clashes are found by a second window over the names given first.
+    def candidate(base: str, ext: str, k: int) -> str:
+        if classic:
+            return f"{base}_{k}{ext}" if k else base + ext
+        if not k:
+            return f"{base}.{ext}" if ext else base
+        suffix = f" {k}"
+        room = max(1, C.MAX_FILENAME - (len(ext) + 1 if ext else 0) - len(suffix))
+        stem = (base[:room].strip(". _-") or "file") + suffix
+        return f"{stem}.{ext}" if ext else stem
+
+    seen = (lambda n: n) if classic else str.lower
+    for batch in batches:
+        out = []
+        for f, base, ext in zip(batch.column(folder).to_pylist(), batch.column("_base").to_pylist(), batch.column("_ext").to_pylist()):
+            if f != at:
+                at, taken, following = f, set(), {}
+            if base is None:
+                out.append(None)
+                continue
+            key = seen(candidate(base, ext, 0))
+            k = following.get(key, 0)
+            while seen(name := candidate(base, ext, k)) in taken:
+                k = k + 1 if k or classic else 2
+            following[key] = k
+            taken.add(seen(name))
+            out.append(name)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], [*columns, "file_name"])
+
+
+def unique_names(files: DataFrame, folder: str = "folder", name: str = "name", order: str = "asset_url", classic: bool = False) -> DataFrame:
+    """``files`` with ``file_name``: sanitised, and numbered until it is free where its folder has it already.
+
+    Files of a folder are named in order: the plain name, else `` 2``, `` 3`` and so
+    on, the first that no file before has, without regard to case.  The classic rule
+    neither cleans nor folds names and numbers them ``_1``, ``_2``.  A folder holds a
+    site's capped downloads, so the names that a task remembers are few; rows
+    stream through it, folder by folder.  A null name stays null.
+    """
+    if classic:
+        ext = F.regexp_extract(name, r"(?s)^\.*[^.].*(\.[^.]*)$", 1)  # from the last dot on, unless only dots are before it
+        rows = files.withColumn("_ext", ext).withColumn("_base", F.expr(f"left(`{name}`, length(`{name}`) - length(_ext))"))
+    else:
+        base, ext = names.split_name(names.sanitize_filename(name))
+        rows = files.withColumn("_base", base).withColumn("_ext", ext)
+    rows = rows.repartition(folder).sortWithinPartitions(folder, order, name)
+    return rows.mapInArrow(partial(_free_names, folder=folder, columns=files.columns, classic=classic), T.StructType([*files.schema.fields, T.StructField("file_name", T.StringType())]))
+
+
+def classic_downloads(fetches: DataFrame, most: int = C.MAX_IMAGES, least: int = C.MIN_PIXELS_CLASSIC) -> DataFrame:
+    """(site, asset_url, kind, outcome): what the classic run handles, in address order, until it has saved ``most``.
+
+    ``fetches(site, asset_url, w, h, declared_len, len)``.  Skipped addresses and
+    kinds that are neither image nor video are not handled and not counted; there
+    are no fingerprints.  What stands behind the last saved asset is never reached.
+    The address of that one comes from a ranking that Spark cuts before the shuffle.
     """
-    base, ext = names.split_name(names.sanitize_filename(name))
-    rows = files.withColumn("_base", base).withColumn("_ext", ext)
-    same = Window.partitionBy(folder, F.lower("_base"), F.lower("_ext")).orderBy(order)
-    rows = rows.withColumn("_n", F.row_number().over(same))
-    rows = rows.withColumn("file_name", names.numbered_name("_base", F.col("_ext"), F.col("_n")))
-    again = Window.partitionBy(folder, F.lower("file_name")).orderBy("_n", order)
-    rows = rows.withColumn("_k", F.row_number().over(again))
-    return rows.withColumn("file_name", F.when(F.col("_k") == 1, F.col("file_name")).otherwise(names.numbered_name(names.split_name("file_name")[0], F.col("_ext"), F.col("_k")))).drop("_base", "_ext", "_n", "_k")
+    from sitelattice.functions import urls
+    from sitelattice.operators import select
+
+    kind = select.media_kind("asset_url", classic=True)
+    rows = fetches.where(~urls.is_skipped("asset_url")).withColumn("kind", kind).where("kind <> 'other'")
+    rows = rows.withColumn("outcome", select.outcome(F.col("kind"), F.col("w"), F.col("h"), F.col("declared_len"), F.col("len"), least)).select("site", "asset_url", "kind", "outcome")
+    last = capped(rows.where("outcome = 'ok'").select("site", "asset_url"), most).where(F.col("position") == most).select("site", F.col("asset_url").alias("last"))
+    return rows.join(last, "site", "left").where("last IS NULL OR asset_url <= last").drop("last")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,12 +68,12 @@ def page_assets(pages: DataFrame, scan_cdn: bool = False, keep: tuple[str, ...]
     return pages.select("url", *keep, F.explode(found).alias("asset_url")).distinct()
 
 
-def page_links(pages: DataFrame, site: str = "site_url", strict_origin: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def page_links(pages: DataFrame, site: str = "site_url", strict_origin: bool = False, keep: tuple[str, ...] = (), legacy: bool = False) -> DataFrame:
     """(url, link, pos): internal links in the order of the page; relative ones are resolved against the site's start."""
     raw = attribute_values(F.col("html"), "href")
     if "link_candidates" in pages.columns:
         raw = F.concat(F.coalesce("link_candidates", F.array().cast("array<string>")), raw)
-    links = F.transform(raw, lambda v, i: F.struct(i.alias("pos"), urls.internal_link(v, F.col(site), F.col(site), strict_origin).alias("link")))
+    links = F.transform(raw, lambda v, i: F.struct(i.alias("pos"), urls.internal_link(v, F.col(site), F.col(site), strict_origin, legacy).alias("link")))
     rows = pages.select("url", *keep, F.explode(F.filter(links, lambda x: x["link"].isNotNull())).alias("x")).select("url", *keep, "x.*")
     return rows.groupBy("url", *keep, "link").agg(F.min("pos").alias("pos"))
 
@@ -106,7 +106,7 @@ def slug_links(pages: DataFrame, url_status: DataFrame, most: int | None = C.MAX
     base = F.regexp_replace(urls.path("url"), "^/+|/+$", "")
     prefix = F.concat(urls.origin("url"), F.when(base == "", "").otherwise(F.concat(F.lit("/"), base)))
     rows = pages.where(F.contains("html", F.lit("self.__next_f"))).select("url", prefix.alias("prefix"), F.explode(found).alias("slug"))
-    templates = F.array(*(F.lit(t.replace("%s", "")) for t in C.SLUG_TEMPLATES))
+    templates = F.array(*(F.lit(p) for p in C.SLUG_PREFIXES))
     rows = rows.select("url", "slug", "prefix", F.posexplode(templates).alias("rank", "template")).select("url", "slug", "rank", F.concat("prefix", "template", "slug").alias("link"))
     fine = url_status.where("status = 200").select(F.col("url").alias("link")).distinct()
     return rows.join(fine, "link", "left_semi").groupBy("url", "slug").agg(F.min_by("link", "rank").alias("link"))
@@ -165,9 +165,9 @@ def classic_assets(pages: DataFrame) -> DataFrame:
     whole = F.lit(0)
     ready = F.flatten(F.array(
         F.transform(F.regexp_extract_all("styles", F.lit(C.CSS_URL)), lambda v: urls.strip_cdn_query(urls.wix_original(v))),
-        F.transform(F.regexp_extract_all(scripts, F.lit(r"""https://static\.wixstatic\.com/media/[^"'\s]+"""), whole), urls.wix_original),
-        F.transform(F.regexp_extract_all(clean, F.lit(r"""(?i)https://(?:www\.)?datocms-assets\.com/[^\s"'<>&]+\.(?:jpg|jpeg|png|webp|avif|gif)"""), whole), lambda v: F.substring_index(v, "?", 1)),
-        F.regexp_extract_all(scripts, F.lit(r"""(?i)https://[^\s"']+\.(?:mp4|mov|webm|m4v)"""), whole),
+        F.transform(F.regexp_extract_all(scripts, F.lit(C.CLASSIC_WIX_SCAN), whole), urls.wix_original),
+        F.transform(F.regexp_extract_all(clean, F.lit(C.CLASSIC_DATO_SCAN), whole), lambda v: F.substring_index(v, "?", 1)),
+        F.regexp_extract_all(scripts, F.lit(C.CLASSIC_VIDEO_SCAN), whole),
     ))
     normal = F.transform(F.col("values"), lambda v: urls.normalize(v, F.col("url"), classic=True))
     return parsed.select("url", F.explode(F.array_distinct(F.concat(normal, ready))).alias("asset_url")).where("asset_url IS NOT NULL")
@@ -175,19 +175,45 @@ def classic_assets(pages: DataFrame) -> DataFrame:
 
 def classic_links(pages: DataFrame) -> DataFrame:
     """(url, link) by the classic rules: anchors on the page's origin, without fragment, query and skipped parts."""
-    rows = pages.select("url", F.explode(F.array_distinct(attribute_values(F.regexp_replace("html", r"(?is)<(?!a\s)[^>]*>", ""), "href"))).alias("raw"))
-    rows = rows.where(~F.col("raw").rlike(r"^\s*(#|mailto:|tel:|javascript:)"))
-    rows = rows.withColumn("link", urls.strip_fragment_and_query(urls.resolve(F.trim("raw"), F.col("url"))))
+    parsed = pages.select("url", parse_html("html").alias("p"))
+    rows = parsed.select("url", F.explode(F.array_distinct(F.transform("p.links", urls.strip))).alias("raw"))
+    rows = rows.where(~F.col("raw").rlike(r"^(#|mailto:|tel:|javascript:)"))
+    rows = rows.withColumn("link", urls.strip_fragment_and_query(urls.resolve(F.col("raw"), F.col("url"))))
     whole = F.regexp_extract("url", r"^([^:]+://[^/?#]*)", 1)
     skipped = F.rtrim(F.lower("link"), F.lit("/")).rlike("|".join(C.SKIPPED_LINK_PARTS))
     return rows.where(F.col("link").startswith(whole) & (F.rtrim("link", F.lit("/")) != F.rtrim("url", F.lit("/"))) & ~skipped).select("url", "link").distinct()
 
 
-def cargo_data_assets(rows: DataFrame) -> DataFrame:
-    """(url, asset_url) from the JSON that a Cargo site serves: images of displayed pages on its own host.
+def json_scripts(html) -> Column:
+    """The texts of a page's JSON scripts."""
+    return F.regexp_extract_all(urls._text(html), F.lit(C.JSON_SCRIPT))
 
-    ``rows(url, json)``: ``{"pages": [{"project_url": ..., "display": ..., "images": [{"url": ...}]}]}``.
+
+def cargo_slugs(pages: DataFrame) -> DataFrame:
+    """(url, slug), distinct: the project pages that a Cargo page's JSON scripts name.
+
+    An object lists them as ``pages[].project_url``, those with ``display: false`` left
+    out; an array as ``[].url``.
     """
-    schema = "struct<pages: array<struct<project_url: string, display: boolean, images: array<struct<url: string>>>>>"
-    pages = rows.select("url", F.explode(F.from_json("json", schema)["pages"]).alias("p")).where("p.project_url IS NOT NULL AND coalesce(p.display, true)")
-    return pages.select("url", F.explode("p.images.url").alias("asset_url")).where(F.contains("asset_url", F.lit("freight.cargo.site"))).distinct()
+    data = pages.select("url", F.explode(json_scripts("html")).alias("json"))
+    schema = "struct<pages: array<struct<project_url: string, display: boolean>>>"
+    shown = F.filter(F.from_json("json", schema)["pages"], lambda p: F.coalesce(p["display"], F.lit(True)))
+    listed = F.from_json("json", "array<struct<url: string>>")
+    found = F.when(urls.strip("json").startswith("["), F.transform(listed, lambda x: x["url"])).otherwise(F.transform(shown, lambda p: p["project_url"]))
+    return data.select("url", F.explode(found).alias("slug")).where("slug <> ''").distinct()
+
+
+def cargo_images(pages: DataFrame) -> DataFrame:
+    """(url, asset_url), distinct: a Cargo page's images on its own host, in attributes and as originals in its JSON scripts."""
+    html = F.col("html")
+    shown = F.transform(F.regexp_extract_all(html, F.lit(C.IMAGE_SOURCE)), lambda v: urls.resolve(v, F.col("url")))
+    held = F.filter(F.concat(attribute_values(html, "data-src"), shown), lambda v: F.contains(v, F.lit(C.CARGO_HOST)) & ~v.rlike(r"\.(?:svg|ico)$"))
+    originals = F.regexp_extract_all(F.array_join(json_scripts(html), "\n"), F.lit(C.CARGO_ORIGINAL), F.lit(0))
+    return pages.select("url", F.explode(F.array_distinct(F.concat(held, originals))).alias("asset_url"))
+
+
+def cargo_pages(slugs_: DataFrame, most: int = C.MAX_PAGES_CLASSIC) -> DataFrame:
+    """(url, link): the project pages' addresses on the site's origin, at most ``most`` of a site, by name."""
+    link = F.concat(urls.scheme("url"), F.lit("://"), F.regexp_extract("url", r"^[^:]+://([^/?#]*)", 1), F.lit("/"), F.regexp_replace("slug", "^/+", ""))
+    rank = F.row_number().over(Window.partitionBy("url").orderBy("slug"))
+    return slugs_.withColumn("_n", rank).where(F.col("_n") <= most).select("url", link.alias("link"))

@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelattice.functions import constants as C
 
 
+@dataclass(frozen=True)
+class RunOptions:
+    """What a run may be asked for; values out of bounds are refused."""
+
+    max_images: int = C.MAX_IMAGES
+    min_pixels: int = C.MIN_PIXELS
+    organize: bool = True
+    save_details: bool = False
+
+    def __post_init__(self):
+        low, high = C.MAX_IMAGES_RANGE
+        if isinstance(self.max_images, bool) or not isinstance(self.max_images, int) or not low <= self.max_images <= high:
+            raise ValueError(f"max_images is a whole number from {low} to {high}")
+        if self.min_pixels < 0:
+            raise ValueError("min_pixels is not negative")
+
+
+def queue_rows(queue: DataFrame, current: str | None) -> DataFrame:
+    """(pos, url, is_current): the waiting ``queue(position, url)`` and the job that runs, as ``restore`` takes them."""
+    rows = queue.select(F.col("position").cast("long").alias("pos"), "url", F.lit(False).alias("is_current"))
+    if current is None:
+        return rows
+    return rows.unionByName(queue.sparkSession.range(1).select(F.lit(0).cast("long").alias("pos"), F.lit(current).alias("url"), F.lit(True).alias("is_current")))
+
+
 def restore(jobs: DataFrame) -> DataFrame:
     """(position, url): the interrupted job first, then the saved queue, each address once.
 

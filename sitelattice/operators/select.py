@@ -9,16 +9,18 @@ from sitelattice.functions import constants as C
 from sitelattice.functions import urls
 
 
-def largest_variants(assets: DataFrame, by: tuple[str, ...] = (), cargo: bool = True) -> DataFrame:
+def largest_variants(assets: DataFrame, by: tuple[str, ...] = (), cargo: bool = True, ordered: bool = False) -> DataFrame:
     """For each key the variant with the highest score: then without query, shorter, first in order.
 
     ``assets`` has asset_url and the columns ``by``.  ``min_by`` is aggregated before
-    the shuffle, so a key with very many variants does no harm.
+    the shuffle, so a key with very many variants does no harm.  ``ordered`` asks for
+    the rows in the order of ``by`` and address.
     """
     scored = assets.select(*by, "asset_url", urls.canonical_key("asset_url", cargo).alias("asset_key"), urls.resolution_score("asset_url", cargo).alias("score"))
     order = F.struct(-F.col("score"), urls.has_query("asset_url"), F.length("asset_url"), F.col("asset_url"))
     best = F.min_by(F.struct("asset_url", "score"), order)
-    return scored.groupBy(*by, "asset_key").agg(best.alias("best")).select(*by, "asset_key", F.col("best.asset_url").alias("asset_url"), F.col("best.score").alias("score"))
+    out = scored.groupBy(*by, "asset_key").agg(best.alias("best")).select(*by, "asset_key", F.col("best.asset_url").alias("asset_url"), F.col("best.score").alias("score"))
+    return out.orderBy(*by, "asset_url") if ordered else out
 
 
 def best_referer(candidates: DataFrame, by: tuple[str, ...] = (), first_wins: bool = False) -> DataFrame:
@@ -74,8 +76,8 @@ def outcome(kind: Column, width: Column, height: Column, declared: Column, actua
 def fetched(attempts: DataFrame) -> DataFrame:
     """The first successful attempt for each asset: (asset_url, content, mime, via).
 
-    ``attempts(asset_url, attempt, via, status, content, mime)``: direct, then by other
-    means; only a 403 or a failure without a status lets the next one count.
+    ``attempts(asset_url, attempt, via, status, content, mime)`` are those that were
+    made, direct ones first, then by other means; the first that brought something counts.
     """
     good = attempts.where(F.col("status").between(200, 399) & F.col("content").isNotNull())
     return good.groupBy("asset_url").agg(F.min_by(F.struct("content", "mime", "via"), F.struct("attempt", "content")).alias("a")).select("asset_url", "a.*")

@@ -29,7 +29,7 @@ INPUTS = {
     "raw_urls": r"""
         SELECT p_partkey AS id, 'https://s' || CAST(p_partkey % 20 AS STRING) || '.example.com/a/b/c.html' AS base,
                CASE p_partkey % 12 WHEN 0 THEN '/img/' || CAST(p_partkey AS STRING) || '.jpg' WHEN 1 THEN '//cdn.example.com/x' || CAST(p_partkey AS STRING) || '.png'
-                 WHEN 2 THEN 'data:image/png;base64,AAAA' WHEN 3 THEN ' ../up' || CAST(p_partkey AS STRING) || '.gif ' WHEN 4 THEN './same.webp'
+                 WHEN 2 THEN chr(10) || 'data:image/png;base64,AAAA' WHEN 3 THEN chr(9) || ' ../up' || CAST(p_partkey AS STRING) || '.gif ' || chr(13) || chr(10) WHEN 4 THEN './same.webp'
                  WHEN 5 THEN 'https://cdn.sanity.io/images/p/d/' || CAST(p_partkey AS STRING) || '.jpg?w=10&h=20' WHEN 6 THEN 'JavaScript:void(0)'
                  WHEN 7 THEN 'https://static.wixstatic.com/media/ab_' || CAST(p_partkey AS STRING) || '~mv2.jpg/v1/fill/w_640,h_480/x.jpg'
                  WHEN 8 THEN '/_next/image?url=%2Fmedia%2Fpic' || CAST(p_partkey AS STRING) || '.jpg&w=640&q=75' WHEN 9 THEN 'page.jpg?a=1&amp;b=' || CAST(p_partkey AS STRING)
@@ -73,8 +73,33 @@ INPUTS = {
                CASE WHEN l_partkey % 3 = 0 THEN 403 WHEN l_partkey % 3 = 1 THEN 500 ELSE 200 END AS status, l_returnflag AS content, 'image/png' AS mime FROM {lineitem}""",
     "names": r"""
         SELECT p_partkey AS id, '  ' || replace(p_name, ' ', CASE p_partkey % 4 WHEN 0 THEN '//' WHEN 1 THEN ' ? ' WHEN 2 THEN ' -- ' ELSE '  ' END) || CASE p_partkey % 3 WHEN 0 THEN ': 50%' WHEN 1 THEN '... ' ELSE '' END AS name FROM {part}""",
+    # names that are used again, and names that look like the numbered ones of others
     "files": r"""
-        SELECT 'd' || CAST(p_partkey % 10 AS STRING) AS folder, 'pic ' || CAST(p_size AS STRING) || '.JPG' AS name, 'u' || CAST(p_partkey + 100000 AS STRING) AS asset_url FROM {part}""",
+        SELECT 'd' || CAST(p_partkey % 10 AS STRING) AS folder, CASE WHEN p_partkey % 3 = 0 THEN 'pic ' ELSE 'Pic ' END || CAST(p_size % 8 AS STRING) ||
+               CASE CAST(floor(p_partkey / 10) AS BIGINT) % 4 WHEN 1 THEN ' 2' WHEN 2 THEN ' 3' ELSE '' END || '.JPG' AS name, 'u' || CAST(p_partkey + 100000 AS STRING) AS asset_url FROM {part}""",
+    "downloads": r"""
+        SELECT 'site' || CAST(p_partkey % 20 AS STRING) AS site, 'https://i.example.com/' || CASE WHEN p_partkey % 9 = 8 THEN 'logo' ELSE 'f' END || CAST(p_partkey + 100000 AS STRING) ||
+               CASE p_partkey % 7 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' WHEN 2 THEN '.mp4' WHEN 3 THEN '.webm' WHEN 4 THEN '' WHEN 5 THEN '.bmp' ELSE '.gif' END AS asset_url,
+               p_size * 40 AS w, p_size * 30 AS h, CAST(p_size AS BIGINT) * 2 * 1024 * 1024 AS declared_len, CASE WHEN p_partkey % 17 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(p_size AS BIGINT) * 1000 END AS len
+        FROM {part}""",
+    # pages with what a browser saw
+    "rendered_pages": r"""
+        SELECT p_partkey AS page_id, 'https://r' || CAST(p_partkey % 20 AS STRING) || '.example.com/' AS site_url, 'https://r' || CAST(p_partkey % 20 AS STRING) || '.example.com/w/' || CAST(p_partkey AS STRING) AS url,
+               '<img src="/i/' || CAST(p_partkey AS STRING) || '.jpg"><a href="/n' || CAST(p_partkey % 7 AS STRING) || '">n</a>' AS html,
+               split('https://r' || CAST(p_partkey % 20 AS STRING) || '.example.com/i/' || CAST(p_partkey AS STRING) || '.jpg~' || chr(10) || ' /bg' || CAST(p_partkey % 5 AS STRING) || '.png?x=1 ~data:image/png;base64,AA', '~') AS asset_candidates,
+               split('https://r' || CAST(p_partkey % 20 AS STRING) || '.example.com/deep/' || CAST(p_partkey % 3 AS STRING) || '#f~https://other.example.org/x', '~') AS link_candidates
+        FROM {part}""",
+    # pages with more project slugs than a run follows
+    "slug_pages": r"""
+        SELECT p_partkey AS page_id, 'https://n' || CAST(p_partkey AS STRING) || '.example.com/w' AS url, '<script>self.__next_f.push({{"slug":"about"}},{{"slug":"ab"}},"""
+    + ",".join(f'{{{{"slug":"s-{i:02d}"}}}}' for i in range(30))
+    + r""")</script>' AS html FROM {part}""",
+    "cargo_pages": r"""
+        SELECT p_partkey AS page_id, 'https://c' || CAST(p_partkey AS STRING) || '.example.com/a' AS url,
+               '<script type="text/json" data-set="x">{{"pages":[{{"project_url":"p' || CAST(p_partkey % 5 AS STRING) || '","display":true}},{{"project_url":"hidden","display":false}},{{"project_url":"q' || CAST(p_partkey % 3 AS STRING) ||
+               '"}}]}}</script><script type="text/json" data-set="y"> [{{"url":"thumb' || CAST(p_partkey % 4 AS STRING) || '"}},{{"url":""}}]</script><script type="text/json">{{"i":"https://freight.cargo.site/t/original/i/z' || CAST(p_partkey AS STRING) ||
+               '/q.PNG"}}</script><img alt="" src="https://freight.cargo.site/w/100/i/y' || CAST(p_partkey % 6 AS STRING) || '/a.jpg"><img data-src="https://freight.cargo.site/w/1/i/x.svg"><div data-src="//cdn.example.com/freight.jpg"></div><img src="/own.jpg">' AS html
+        FROM {part}""",
     "batch": r"""
         SELECT CASE c_custkey % 5 WHEN 0 THEN '# comment ' || c_name WHEN 1 THEN '' WHEN 2 THEN '  http://' || c_name || '.com ' WHEN 3 THEN c_name || '.com/x' ELSE '   ' END AS value FROM {customer}""",
 }

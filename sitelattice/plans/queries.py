@@ -107,6 +107,30 @@ def internal_links(spark, sf_dir):
     return extract.page_links(derived(spark, sf_dir, "site_pages"))
 
 
+@_query(rf"""
+WITH raw AS (SELECT url, site_url, unnest({_attr('href')}) AS h, generate_subscripts({_attr('href')}, 1) - 1 AS pos FROM <site_pages>),
+full_ AS (SELECT url, site_url, pos, CASE WHEN replace(h, '&amp;', '&') LIKE '/%' THEN rtrim(site_url, '/') || replace(h, '&amp;', '&') ELSE replace(h, '&amp;', '&') END AS u FROM raw),
+ok AS (SELECT url, regexp_replace(u, '[?#].*$', '') AS link, pos FROM full_ WHERE starts_with(u, rtrim(site_url, '/')) AND u <> site_url AND {_ext('u')} NOT IN ({_NON_PAGE})
+  AND NOT regexp_matches(lower(u), '/about|/contact|/privacy|/legal|/terms|/policy|/jobs|/careers|/feed|/tag/|/category/'))
+SELECT url, link, min(pos)::INT AS pos FROM ok GROUP BY url, link""")
+def legacy_internal_links(spark, sf_dir):
+    return extract.page_links(derived(spark, sf_dir, "site_pages"), legacy=True)
+
+
+@_query(r"""
+WITH p AS (SELECT url, site_url, regexp_extract(html, 'src="/i/(\d+)', 1) AS k, asset_candidates[2] AS c FROM <rendered_pages>)
+SELECT url, site_url || 'i/' || k || '.jpg' AS asset_url FROM p UNION SELECT url, rtrim(site_url, '/') || trim(c, chr(10) || ' ') FROM p""")
+def rendered_assets(spark, sf_dir):
+    return extract.page_assets(derived(spark, sf_dir, "rendered_pages"))
+
+
+@_query(r"""
+SELECT url, string_split(link_candidates[1], '#')[1] AS link, 0::INT AS pos FROM <rendered_pages>
+UNION ALL SELECT url, rtrim(site_url, '/') || regexp_extract(html, 'href="([^"]+)"', 1), 2 FROM <rendered_pages>""")
+def rendered_links(spark, sf_dir):
+    return extract.page_links(derived(spark, sf_dir, "rendered_pages"))
+
+
 @_query(r"""
 WITH s AS (SELECT url, site, unnest(regexp_extract_all(html, '(?is)"project_url"\s*:\s*"([^"]+)"', 1)) AS raw FROM <rich_pages>)
 SELECT DISTINCT url, site || replace(raw, chr(92) || '/', '/') AS link FROM s""")
@@ -129,6 +153,47 @@ def slug_links(spark, sf_dir):
     return extract.slug_links(pages, spark.sql(_STATUS, rich=pages))
 
 
+_SLUG_STATUS = """SELECT url || CASE WHEN i % 2 = 0 THEN '/work/' ELSE '/portfolio/' END || 's-' || lpad(CAST(i AS STRING), 2, '0') AS url, CASE WHEN i % 5 = 4 THEN 404 ELSE 200 END AS status
+  FROM {pages} AS p CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24), (25), (26), (27), (28), (29)) AS v(i)"""
+_MANY_SLUGS = rf"""
+WITH st AS ({_SLUG_STATUS.format(pages='<slug_pages>')}),
+s AS (SELECT url, unnest(list_filter(regexp_extract_all(html, '"slug":"([a-z0-9][a-z0-9\-]+)"', 1), lambda x: x <> 'about' AND length(x) > 2)[1:{{0}}]) AS slug FROM <slug_pages>),
+c AS (SELECT s.url, slug, k, s.url || t || slug AS link FROM s CROSS JOIN (VALUES (0, '/work/'), (1, '/works/'), (2, '/projects/'), (3, '/case-studies/'), (4, '/case-study/'), (5, '/portfolio/')) AS x(k, t))
+SELECT c.url, slug, arg_min(link, k) AS link FROM c JOIN st ON st.url = link AND st.status = 200 GROUP BY c.url, slug"""
+
+
+@_query(_MANY_SLUGS.replace("{0}", "24"))
+def slug_links_capped(spark, sf_dir):
+    pages = derived(spark, sf_dir, "slug_pages")
+    return extract.slug_links(pages, spark.sql(_SLUG_STATUS, pages=pages))
+
+
+@_query(_MANY_SLUGS.replace("{0}", "100"))
+def classic_slug_links(spark, sf_dir):
+    pages = derived(spark, sf_dir, "slug_pages")
+    escaped = pages.withColumn("html", F.replace("html", F.lit('"'), F.lit('\\"')))
+    return extract.slug_links(escaped, spark.sql(_SLUG_STATUS, pages=pages), most=None, classic=True)
+
+
+_CARGO_SLUGS = r"""s AS (SELECT url, unnest([regexp_extract(html, '"project_url":"(p\d)"', 1), regexp_extract(html, '"project_url":"(q\d)"', 1), regexp_extract(html, '"url":"(thumb\d)"', 1)]) AS slug FROM <cargo_pages>)"""
+
+
+@_query(f"WITH {_CARGO_SLUGS} SELECT url, slug FROM s")
+def cargo_slugs(spark, sf_dir):
+    return extract.cargo_slugs(derived(spark, sf_dir, "cargo_pages"))
+
+
+@_query(f"WITH {_CARGO_SLUGS} SELECT url, regexp_replace(url, 'a$', '') || slug AS link FROM s QUALIFY row_number() OVER (PARTITION BY url ORDER BY slug) <= 2")
+def cargo_project_pages(spark, sf_dir):
+    return extract.cargo_pages(extract.cargo_slugs(derived(spark, sf_dir, "cargo_pages")), 2)
+
+
+@_query(r"""SELECT url, regexp_extract(html, '(https://freight.cargo.site/w/100/[^"]+)', 1) AS asset_url FROM <cargo_pages>
+UNION ALL SELECT url, regexp_extract(html, '(https://freight.cargo.site/t/original/[^"]+)', 1) FROM <cargo_pages>""")
+def cargo_images(spark, sf_dir):
+    return extract.cargo_images(derived(spark, sf_dir, "cargo_pages"))
+
+
 @_query(r"""
 WITH p AS (SELECT url, site, html, regexp_extract(html, 'src="/i/(\d+)', 1)::INT AS k FROM <rich_pages>)
 SELECT url, unnest([site || 'i/' || k || '.jpg', site || 'l/' || k || '.png', site || 'a' || (k % 7) || '.jpg?w=100&v=1', site || 'a' || (k % 7) || '.jpg?w=900&v=1', site || 'p' || k || '.jpg',
@@ -148,7 +213,7 @@ def classic_links(spark, sf_dir):
 
 
 @_query(r"""
-WITH t AS (SELECT id, base, trim(raw) AS raw, regexp_replace(base, '/a/b/c.html$', '') AS root FROM <raw_urls>)
+WITH t AS (SELECT id, base, trim(raw, chr(9) || chr(10) || chr(13) || ' ') AS raw, regexp_replace(base, '/a/b/c.html$', '') AS root FROM <raw_urls>)
 SELECT id, CASE id % 12 WHEN 0 THEN root || raw WHEN 1 THEN 'https:' || raw WHEN 3 THEN root || '/a/' || substr(raw, 4) WHEN 4 THEN root || '/a/b/same.webp' WHEN 5 THEN string_split(raw, '?')[1]
   WHEN 7 THEN regexp_replace(raw, '/v1/.*$', '') WHEN 8 THEN root || '/media/pic' || id || '.jpg' WHEN 9 THEN root || '/a/b/' || replace(raw, '&amp;', '&') WHEN 11 THEN base || raw END AS normal FROM t""")
 def normalize_urls(spark, sf_dir):
@@ -156,7 +221,7 @@ def normalize_urls(spark, sf_dir):
 
 
 @_query(r"""
-WITH t AS (SELECT id, base, trim(raw) AS raw, regexp_replace(base, '/a/b/c.html$', '') AS root FROM <raw_urls>)
+WITH t AS (SELECT id, base, trim(raw, chr(9) || chr(10) || chr(13) || ' ') AS raw, regexp_replace(base, '/a/b/c.html$', '') AS root FROM <raw_urls>)
 SELECT id, CASE id % 12 WHEN 0 THEN root || raw WHEN 1 THEN 'https:' || raw WHEN 3 THEN root || '/a/' || substr(raw, 4) WHEN 4 THEN root || '/a/b/same.webp' WHEN 5 THEN string_split(raw, '?')[1]
   WHEN 7 THEN regexp_replace(raw, '/v1/.*$', '') WHEN 8 THEN '/media/pic' || id || '.jpg' WHEN 9 THEN root || '/a/b/' || raw WHEN 11 THEN base || raw END AS normal FROM t""")
 def normalize_urls_classic(spark, sf_dir):
@@ -312,13 +377,38 @@ def source_folders(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", names.source_directory("url").alias("folder"))
 
 
-@_query(r"""
-SELECT folder, asset_url, string_split(name, '.')[1] || CASE WHEN n > 1 THEN ' ' || n ELSE '' END || '.jpg' AS file_name
-FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY asset_url) AS n FROM <files>)""")
+def _named_in_turn(first: str, nth: str, seen: str, least: int) -> str:
+    """DuckDB: files of each folder named one after the other; ``first`` and ``nth`` (of k) are the names to try."""
+    return rf"""
+WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY asset_url) AS i FROM <files>),
+walk(folder, i, taken, asset_url, file_name) AS (
+  SELECT DISTINCT folder, 0::BIGINT, ['']::VARCHAR[], '', '' FROM r
+  UNION ALL
+  SELECT folder, i, list_append(taken, {seen.format('pick')}), asset_url, pick FROM (
+    SELECT folder, i, taken, asset_url, CASE WHEN NOT list_contains(taken, {seen.format(first)}) THEN {first}
+      ELSE list_filter(list_transform(range({least}, len(taken) + 3), lambda k: {nth}), lambda x: NOT list_contains(taken, {seen.format('x')}))[1] END AS pick
+    FROM (SELECT r.folder, r.i, walk.taken, r.asset_url, r.name, string_split(r.name, '.')[1] AS base FROM walk JOIN r ON r.folder = walk.folder AND r.i = walk.i + 1)))
+SELECT folder, asset_url, file_name FROM walk WHERE i > 0"""
+
+
+@_query(_named_in_turn("base || '.jpg'", "base || ' ' || k || '.jpg'", "lower({})", 2))
 def unique_names(spark, sf_dir):
     return dedupe.unique_names(derived(spark, sf_dir, "files")).select("folder", "asset_url", "file_name")
 
 
+@_query(_named_in_turn("name", "base || '_' || k || '.JPG'", "{}", 1))
+def unique_names_classic(spark, sf_dir):
+    return dedupe.unique_names(derived(spark, sf_dir, "files"), classic=True).select("folder", "asset_url", "file_name")
+
+
+@_query(r"""
+SELECT asset_url, CASE WHEN length(name) % 3 < 2 THEN folder || '/' || name ELSE name END AS path FROM <files>""")
+def relative_paths(spark, sf_dir):
+    rows = derived(spark, sf_dir, "files")
+    root = F.expr("CASE length(name) % 3 WHEN 0 THEN '/out' WHEN 1 THEN '/out/' ELSE '/elsewhere' END")
+    return rows.select("asset_url", names.relative_path(F.concat_ws("/", F.lit("/out"), "folder", "name"), root).alias("path"))
+
+
 # ---- filters, counters and caps ----
 
 _OUTCOME = """CASE WHEN regexp_matches(asset_url, '\\.(mp4|mov|webm|m4v|ogv)$') THEN CASE WHEN declared_len > 52428800 THEN 'large' WHEN len = 0 THEN 'error' WHEN len > 52428800 THEN 'large' ELSE 'ok' END
@@ -341,6 +431,25 @@ def classic_kinds(spark, sf_dir):
     return derived(spark, sf_dir, "images").select("asset_url", select.media_kind("asset_url", classic=True).alias("kind"), select.is_small(F.col("w"), F.col("h"), C.MIN_PIXELS_CLASSIC).alias("small"))
 
 
+_HANDLED = r"""
+k AS (SELECT *, CASE WHEN regexp_matches(asset_url, '\.(mp4|webm)$') THEN 'video' ELSE 'image' END AS kind FROM <downloads> WHERE NOT contains(asset_url, 'logo') AND NOT regexp_matches(asset_url, '\.bmp$')),
+o AS (SELECT site, asset_url, kind, CASE WHEN kind = 'video' THEN CASE WHEN declared_len > 52428800 THEN 'large' WHEN len = 0 THEN 'error' ELSE 'ok' END
+  WHEN len = 0 THEN 'error' WHEN w < 1100 AND h < 1100 THEN 'small' ELSE 'ok' END AS outcome FROM k),
+r AS (SELECT *, coalesce(sum((outcome = 'ok')::INT) OVER (PARTITION BY site ORDER BY asset_url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)"""
+
+
+@_query(f"WITH {_HANDLED} SELECT site, asset_url, kind, outcome FROM r WHERE before < 10")
+def classic_downloads(spark, sf_dir):
+    return dedupe.classic_downloads(derived(spark, sf_dir, "downloads"), 10)
+
+
+@_query(f"""
+WITH {_HANDLED} SELECT site, count(*) AS found, count(*) FILTER (outcome = 'ok') AS saved, count(*) FILTER (outcome = 'small') AS skipped_small,
+  count(*) FILTER (outcome = 'large') AS skipped_large, count(*) FILTER (outcome = 'error') AS errors FROM r WHERE before < 10 GROUP BY site""")
+def classic_counters(spark, sf_dir):
+    return summary.counters(dedupe.classic_downloads(derived(spark, sf_dir, "downloads"), 10))
+
+
 @_query(f"""
 WITH o AS (SELECT site, {_OUTCOME} AS outcome FROM <images>)
 SELECT site, count(*) AS found, count(*) FILTER (outcome = 'ok') AS saved, count(*) FILTER (outcome = 'small') AS skipped_small,
@@ -390,9 +499,9 @@ def response_headers(spark, sf_dir):
 
 @_query(r"""
 SELECT DISTINCT asset_url, page_url, page_url AS referer, CASE WHEN asset_url LIKE 'https://a.example.com/1%' THEN 'https://s.example.com' END AS origin
-FROM <candidates> WHERE page_url LIKE '%/p'""")
+FROM <candidates>""")
 def request_headers(spark, sf_dir):
-    rows = derived(spark, sf_dir, "candidates").where(F.col("page_url").endswith("/p")).select("asset_url", "page_url").distinct()
+    rows = derived(spark, sf_dir, "candidates").select("asset_url", "page_url").distinct()
     near = F.when(F.col("asset_url").startswith("https://a.example.com/1"), F.replace("asset_url", F.lit("a.example"), F.lit("s.example"))).otherwise(F.col("asset_url"))
     return rows.select("asset_url", "page_url", http.request_headers(near, "page_url").alias("h")).select("asset_url", "page_url", "h.*")
 
@@ -419,7 +528,7 @@ def channel_hashes(spark, sf_dir):
     return _hashed(spark, sf_dir)
 
 
-_FAMILIES = """f AS (SELECT h.vec_id, xor(b.hash, (1::BIGINT << (3 * (h.vec_id % 5))) - 1) AS hash FROM h JOIN h AS b ON b.vec_id = h.vec_id - h.vec_id % 5)"""
+_FAMILIES = """f AS (SELECT h.vec_id, h.label, xor(b.hash, (1::BIGINT << (3 * (h.vec_id % 5))) - 1) AS hash FROM h JOIN h AS b ON b.vec_id = h.vec_id - h.vec_id % 5)"""
 
 
 def _families(spark, sf_dir) -> DataFrame:
@@ -436,24 +545,61 @@ def near_pairs(spark, sf_dir):
     return dedupe.near_pairs(dedupe.fingerprint_classes(_families(spark, sf_dir)))
 
 
-@_query()
+@_query(f"WITH {_INT_HASH}, {_FAMILIES}, c AS (SELECT hash, min('v' || (100000 + vec_id)) AS rep FROM f GROUP BY hash) SELECT a.rep AS a, b.rep AS b FROM c a JOIN c b ON a.rep < b.rep AND bit_count(xor(a.hash, b.hash)) <= 12")
+def near_pairs_legacy(spark, sf_dir):
+    return dedupe.near_pairs(dedupe.fingerprint_classes(_families(spark, sf_dir)), C.NEAR_BITS_CLASSIC)
+
+
+def _kept_in_turn(most: int, bits: int) -> str:
+    """DuckDB: each site's images one after the other; the state is a list of those kept."""
+    return f"""
+WITH RECURSIVE {_INT_HASH}, {_FAMILIES},
+m AS (SELECT label::VARCHAR AS site, 'v' || (100000 + vec_id) AS url, hash, (vec_id * 7 % 97 + 900)::BIGINT * 900 AS area, row_number() OVER (PARTITION BY label ORDER BY 'v' || (100000 + vec_id)) AS i FROM f),
+walk(site, i, kept) AS (
+  SELECT DISTINCT site, 0::BIGINT, list_filter([{{'hash': 0::BIGINT, 'area': 0::BIGINT, 'url': '', 'replaced': 0::INT}}], lambda x: x.url <> '') FROM m
+  UNION ALL
+  SELECT site, i, CASE WHEN len(kept) >= {most} THEN kept
+      WHEN coalesce(hit, 0) = 0 THEN list_append(kept, {{'hash': hash, 'area': area, 'url': url, 'replaced': 0::INT}})
+      WHEN area > kept[hit].area THEN list_transform(kept, lambda x, j: CASE WHEN j = hit THEN {{'hash': hash, 'area': area, 'url': url, 'replaced': (x.replaced + 1)::INT}} ELSE x END) ELSE kept END
+  FROM (SELECT m.*, walk.kept, list_position(list_transform(walk.kept, lambda x: bit_count(xor(x.hash, m.hash)) <= {bits}), true) AS hit FROM walk JOIN m ON m.site = walk.site AND m.i = walk.i + 1)),
+last AS (SELECT site, arg_max(kept, i) AS kept FROM walk GROUP BY site)
+SELECT site, k.url AS asset_url, k.replaced AS replaced FROM (SELECT site, unnest(kept) AS k FROM last)"""
+
+
+@_query(_kept_in_turn(40, 8))
 def greedy_dedupe(spark, sf_dir):
-    """Order-dependent, so not SQL; the tests hold it against a plain loop."""
     return dedupe.greedy_dedupe(_families(spark, sf_dir), most=40)
 
 
+@_query(_kept_in_turn(40, 12))
+def greedy_dedupe_legacy(spark, sf_dir):
+    return dedupe.greedy_dedupe(_families(spark, sf_dir), most=40, bits=C.NEAR_BITS_CLASSIC)
+
+
 # ---- crawling and jobs ----
 
 
-@_query(r"""
-WITH RECURSIVE walk(page, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, depth + 1 FROM walk JOIN <edges> ON src = page WHERE depth < 3)
-SELECT page, min(depth)::INT AS depth FROM walk GROUP BY page""")
+def _first_in_first_out(starts: str, most: int) -> str:
+    """DuckDB: each site's queue of pages, one page taken from it in a step; the first ``most`` of the queue are visited."""
+    return f"""
+WITH RECURSIVE adj AS (SELECT src, list(dst ORDER BY pos) AS kids FROM <edges> GROUP BY src),
+walk(site, i, pages, depths) AS (
+  SELECT site, 0::BIGINT, [page], [0] FROM (VALUES {starts}) AS st(site, page)
+  UNION ALL
+  SELECT site, i + 1, list_concat(pages, fresh), list_concat(depths, list_transform(fresh, lambda x: depths[i + 1] + 1)) FROM (
+    SELECT walk.*, list_filter(coalesce(kids, []), lambda x, j: NOT list_contains(pages, x) AND list_position(kids, x) = j) AS fresh
+    FROM walk LEFT JOIN adj ON src = pages[i + 1] WHERE i < least(len(pages), {most}))),
+last AS (SELECT site, arg_max(pages, i)[1:{most}] AS pages, arg_max(depths, i)[1:{most}] AS depths FROM walk GROUP BY site),
+v AS (SELECT site, unnest(pages) AS page, unnest(depths) AS depth, generate_subscripts(pages, 1) - 1 AS visit_rank FROM last)"""
+
+
+@_query(_first_in_first_out("('s', 0::BIGINT)", 1_000_000) + " SELECT page, depth::INT AS depth FROM v")
 def crawl_levels(spark, sf_dir):
     start = spark.createDataFrame([("s", 0)], "site string, page long")
-    return crawl.crawl(derived(spark, sf_dir, "edges"), start, most=1_000_000).where("depth <= 3").select("page", "depth")
+    return crawl.crawl(derived(spark, sf_dir, "edges"), start, most=1_000_000).select("page", "depth")
 
 
-@_query()
+@_query(_first_in_first_out("('s', 0::BIGINT), ('t', 5::BIGINT)", 100) + " SELECT site, page, depth::INT AS depth, visit_rank::BIGINT AS visit_rank FROM v")
 def crawl_capped(spark, sf_dir):
     start = spark.createDataFrame([("s", 0), ("t", 5)], "site string, page long")
     return crawl.crawl(derived(spark, sf_dir, "edges"), start)
@@ -514,3 +660,14 @@ SELECT site, 'S' || substr(string_split(string_split(site, '/')[3], '.')[1], 2)
   count(*) FILTER (u LIKE '%.mp4') AS videos FROM a GROUP BY site""")
 def site_summary(spark, sf_dir):
     return summary.site_summary(derived(spark, sf_dir, "rich_pages"))
+
+
+@_query(r"""
+WITH p AS (SELECT site, url, visit_rank, regexp_extract(html, 'src="/i/(\d+)', 1)::INT AS k FROM <rich_pages>),
+a AS (SELECT site, url, visit_rank, unnest([{'u': site || 'i/' || k || '.jpg', 'k': site || 'i/' || k || '.jpg?', 's': 0}, {'u': site || 'l/' || k || '.png', 'k': site || 'l/' || k || '.png?', 's': 0},
+  {'u': site || 'a' || (k % 7) || '.jpg?w=900&v=1', 'k': site || 'a' || (k % 7) || '.jpg?v=1', 's': 810000}, {'u': site || 'p' || k || '.jpg', 'k': site || 'p' || k || '.jpg?', 's': 0},
+  {'u': site || 'work/clip' || (k % 3) || '.mp4', 'k': site || 'work/clip' || (k % 3) || '.mp4?', 's': 0}, {'u': 'https://cdn.sanity.io/images/p/d/' || (k % 5) || '-10x10.jpg', 'k': 'https://cdn.sanity.io/images/p/d/' || (k % 5) || '.jpg?', 's': 100},
+  {'u': 'https://cdn.sanity.io/images/abc1/prod/a' || (k % 4) || '-100x200.jpg', 'k': 'https://cdn.sanity.io/images/abc1/prod/a' || (k % 4) || '.jpg?', 's': 20000}]) AS x FROM p)
+SELECT site, x.k AS asset_key, x.u AS asset_url, x.s::BIGINT AS score, url AS page_url FROM a QUALIFY row_number() OVER (PARTITION BY site, x.k ORDER BY length(url) DESC, visit_rank, url) = 1""")
+def site_assets(spark, sf_dir):
+    return summary.assets_of_sites(derived(spark, sf_dir, "rich_pages"))

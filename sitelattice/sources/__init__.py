@@ -108,4 +108,15 @@ def write_details(sites: DataFrame, path: str) -> None:
     sites.select("studio", F.col("text").alias("value")).write.mode("append").partitionBy("studio").text(path)
 
 
+def write_queue(queue: DataFrame, path: str, current: str | None = None) -> None:
+    """The job queue and the running job, in the place of what was stored before; ``jobs.restore`` reads them back."""
+    from sitelattice.operators import jobs
+
+    jobs.queue_rows(queue, current).write.mode("overwrite").parquet(path)
+
+
+def read_queue(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("pos long, url string, is_current boolean").parquet(path)
+
+
 PAGE_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])

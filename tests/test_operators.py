@@ -162,10 +162,78 @@ def test_greedy_against_a_loop(spark):
     assert {(r.site, r.asset_url) for r in got} == want
 
 
-def test_unique_names(spark):
-    rows = spark.createDataFrame([("d", "x.jpg", f"u{i}") for i in range(3)] + [("d", "x 2.jpg", "u9")], "folder string, name string, asset_url string")
-    got = [r.file_name for r in dedupe.unique_names(rows).collect()]
-    assert {"x.jpg", "x 2.jpg", "x 3.jpg"} <= set(got) and len(set(got)) == 4
+@pytest.mark.parametrize("given, want", [
+    (["x.jpg", "x.jpg", "x.jpg", "x 2.jpg"], ["x.jpg", "x 2.jpg", "x 3.jpg", "x 2 2.jpg"]),
+    (["a.jpg", "a.jpg", "a 2.jpg", "a 2.jpg"], ["a.jpg", "a 2.jpg", "a 2 2.jpg", "a 2 3.jpg"]),
+    (["a 2.jpg", "a.jpg", "A.JPG", "a.jpg"], ["a 2.jpg", "a.jpg", "A 3.jpg", "a 4.jpg"]),
+    (["b", "b", None, "b 2"], ["b", "b 2", None, "b 2 2"]),
+    (["y" * 130 + ".png"] * 2, ["y" * 116 + ".png", "y" * 114 + " 2.png"]),
+])
+def test_unique_names(spark, given, want):
+    rows = spark.createDataFrame([("d", n, f"u{i}") for i, n in enumerate(given)] + [("e", n, f"u{i}") for i, n in enumerate(given)], "folder string, name string, asset_url string")
+    for folder in "de":
+        assert [r.file_name for r in dedupe.unique_names(rows).where(F.col("folder") == folder).orderBy("asset_url").collect()] == want
+
+
+def test_unique_names_by_the_classic_rule(spark):
+    given = ["x.jpg", "x.jpg", "x_1.jpg", "X.jpg", ".hidden", ".hidden", "a.tar.gz", "a.tar.gz"]
+    rows = spark.createDataFrame([("d", n, f"u{i}") for i, n in enumerate(given)], "folder string, name string, asset_url string")
+    got = [r.file_name for r in dedupe.unique_names(rows, classic=True).orderBy("asset_url").collect()]
+    assert got == ["x.jpg", "x_1.jpg", "x_1_1.jpg", "X.jpg", ".hidden", ".hidden_1", "a.tar.gz", "a.tar_1.gz"]
+
+
+@pytest.mark.parametrize("bits", [8, 12])
+def test_near_pairs_against_all_pairs(spark, bits):
+    rng = random.Random(bits)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = []
+    for i in range(120):
+        base = [rng.choice([0, (1 << 64) - 1, rng.getrandbits(64)]) for _ in range(3)] if i % 4 == 0 else base
+        rows.append((f"u{i:03d}", *(signed(x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(bits)))) for x in base)))
+    got = dedupe.near_pairs(spark.createDataFrame(rows, "rep string, r long, g long, b long"), bits).collect()
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and all(((a ^ b) & (1 << 64) - 1).bit_count() <= bits for a, b in zip(x[1:], y[1:]))}
+    assert want and {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("raw, want", [("\n/c.jpg\t", "https://a.com/c.jpg"), ("\u00a0 c.jpg\r\n", "https://a.com/x/c.jpg"), ("\tdata:image/png;base64,A", None), ("", None)])
+def test_normalize_strips_white_space_and_line_ends(spark, raw, want):
+    assert one(spark, urls.normalize("r", F.col("b")), r=raw, b="https://a.com/x/y.html") == want
+    if raw:
+        assert one(spark, urls.normalize("r", F.col("b"), classic=True), r=raw, b="https://a.com/x/y.html") == want
+
+
+def test_classic_links_come_from_anchors(spark):
+    html = "<base href='/z'><a class=k href='\n/work/x?y#z '>t</a><a href='#top'>u</a><a href='/About/us'>v</a><area href='/no'><a name='q'>w</a>"
+    rows = spark.createDataFrame([("https://a.com/", html)], "url string, html string")
+    assert [r.link for r in extract.classic_links(rows).collect()] == ["https://a.com/work/x"]
+
+
+def test_rendered_pages_join_raw_ones(spark):
+    raw = spark.createDataFrame([("https://a.com/", '<img src="/x.jpg">')], "url string, html string")
+    seen = spark.createDataFrame([("https://a.com/", "", ["/y.jpg", "blob:z"], ["/p"])], "url string, html string, asset_candidates array<string>, link_candidates array<string>")
+    rows = sources.both(raw, seen).withColumn("site_url", F.lit("https://a.com/"))
+    assert {r.asset_url for r in extract.page_assets(rows).collect()} == {"https://a.com/x.jpg", "https://a.com/y.jpg"}
+    assert [r.link for r in extract.page_links(rows).collect()] == ["https://a.com/p"]
+
+
+def test_run_options():
+    assert jobs.RunOptions().max_images == 200
+    for bad in (0, 1001, 2.5, True):
+        with pytest.raises(ValueError):
+            jobs.RunOptions(max_images=bad)
+
+
+def test_queue_is_stored_and_restored(spark, tmp_path):
+    queue = spark.createDataFrame([(1, "b"), (2, "c"), (3, "a")], "position int, url string")
+    for current in (None, "a"):
+        sources.write_queue(queue, str(tmp_path / "q"), current)
+        got = jobs.restore(sources.read_queue(spark, str(tmp_path / "q"))).orderBy("position").collect()
+        assert [r.url for r in got] == (["b", "c", "a"] if current is None else ["a", "b", "c"])
+
+
+def test_variants_in_order(spark):
+    rows = spark.createDataFrame([(f"https://c.com/{n}.jpg?w={w}",) for n in "cab" for w in (100, 300, 200)], "asset_url string")
+    assert [r.asset_url for r in select.largest_variants(rows, ordered=True).collect()] == [f"https://c.com/{n}.jpg?w=300" for n in "abc"]
 
 
 def test_crawl_is_breadth_first_and_capped(spark):
