@@ -21,9 +21,13 @@ def channel_hash(values, mean: Column | None = None) -> Column:
     A channel of equal samples therefore has all bits set.
     """
     v = _text(values)
-    level = channel_mean(v) if mean is None else mean
-    bits = F.zip_with(v, F.sequence(F.lit(0), F.size(v) - 1), lambda x, i: F.when(x >= level, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    both = F.struct(v.alias("v"), (channel_mean(v) if mean is None else mean).alias("level"))
+
+    def hashed(x: Column) -> Column:  # of samples and mean that are each computed once
+        bits = F.zip_with(x["v"], F.sequence(F.lit(0), F.size(x["v"]) - 1), lambda s, i: F.when(s >= x["level"], F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    return F.element_at(F.transform(F.array(both), hashed), 1)
 
 
 def distance(a, b) -> Column:

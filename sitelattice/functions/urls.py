@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from sitelattice.functions import constants as C
 
-_SYNTAX = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+# the parts of RFC 3986's expression, each by the shortest expression that finds it
+_SCHEME = r"^([^:/?#]+):"
+_AUTHORITY = r"^(?:[^:/?#]+:)?//([^/?#]*)"
+_HOST = r"^(?:[^:/?#]+:)?//(?:[^@/?#]*@)?([^/?#]*?)(?::\d*)?(?=[/?#]|$)"
+_PATH = r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)"
+_QUERY = r"^[^?#]*\?([^#]*)"
 
 
 def _text(value: Column | str) -> Column:
@@ -30,21 +35,20 @@ def strip(value) -> Column:
 
 
 def scheme(url) -> Column:
-    return F.nullif(F.regexp_extract(_text(url), _SYNTAX, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_text(url), _SCHEME, 1), F.lit(""))
 
 
 def host(url) -> Column:
     """Host without user and port; null if there is none."""
-    authority = F.regexp_extract(_text(url), _SYNTAX, 2)
-    return F.nullif(F.regexp_replace(F.regexp_replace(authority, r"^[^@]*@", ""), r":\d*$", ""), F.lit(""))
+    return F.nullif(F.regexp_extract(_text(url), _HOST, 1), F.lit(""))
 
 
 def path(url) -> Column:
-    return F.regexp_extract(_text(url), _SYNTAX, 3)
+    return F.regexp_extract(_text(url), _PATH, 1)
 
 
 def query(url) -> Column:
-    return F.nullif(F.regexp_extract(_text(url), _SYNTAX, 4), F.lit(""))
+    return F.nullif(F.regexp_extract(_text(url), _QUERY, 1), F.lit(""))
 
 
 def extension(url) -> Column:
@@ -122,7 +126,7 @@ def resolve(reference, base) -> Column:
 def _resolved(pair: Column) -> Column:
     ref, base = pair["r"], pair["b"]
     bare, own = F.regexp_replace(base, "#.*$", ""), F.coalesce(scheme(base), F.lit("https"))
-    root = F.concat(own, F.lit("://"), F.regexp_extract(base, _SYNTAX, 2))
+    root = F.concat(own, F.lit("://"), F.regexp_extract(base, _AUTHORITY, 1))
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
     whole = F.concat(F.when(ref.startswith("/"), F.lit("")).when(folder == "", F.lit("/")).otherwise(folder), path(ref))
     return (
@@ -225,24 +229,35 @@ def cargo_path(p) -> Column:
     return F.when(text.rlike(C.CARGO_PATH), F.regexp_replace(text, C.CARGO_PATH, "/i/$1/$2")).otherwise(asset_path(text))
 
 
-def _items(url) -> Column:
-    return F.filter(F.split(F.coalesce(query(url), F.lit("")), "&"), lambda i: i != "")
+def _other_parameters(url) -> Column:
+    """The query without its size parameters, by name."""
+    sizes = "|".join(C.SIZE_PARAMETERS)
+    rest = F.regexp_replace(F.regexp_extract(_text(url), _QUERY, 1), rf"(?i)(?<=^|&)(?:{sizes})(?:=[^&]*)?(?=&|$)", "")
+    rest = F.regexp_replace(rest, "^&+|&+$|(?<=&)&+", "")
+    ranked = F.sort_array(F.transform(F.split(rest, "&"), lambda i, n: F.struct(F.substring_index(i, "=", 1).alias("name"), n.alias("at"), i.alias("item"))))
+    return F.when(F.contains(rest, F.lit("&")), F.array_join(F.transform(ranked, lambda r: r["item"]), "&")).otherwise(rest)
 
 
 def canonical_key(url, cargo: bool = True) -> Column:
     """What all size variants of an asset have in common: host, size-free path, other parameters by name."""
-    rest = F.filter(_items(url), lambda i: ~is_size_parameter(F.substring_index(i, "=", 1)))
-    ranked = F.array_sort(F.transform(rest, lambda i, n: F.struct(F.substring_index(i, "=", 1).alias("name"), n.alias("at"), i.alias("item"))))
-    name = F.lower(F.coalesce(host(url), F.lit("")))
+    name = F.lower(F.regexp_extract(_text(url), _HOST, 1))
     p = F.when(name == "freight.cargo.site", cargo_path(path(url))).otherwise(asset_path(path(url))) if cargo else asset_path(path(url))
-    return F.concat(F.coalesce(scheme(url), F.lit("https")), F.lit("://"), name, p, F.lit("?"), F.array_join(F.transform(ranked, lambda r: r["item"]), "&"))
+    return F.concat(F.coalesce(scheme(url), F.lit("https")), F.lit("://"), name, p, F.lit("?"), _other_parameters(url))
+
+
+def _number(url, pattern: str, group: int = 1) -> Column:
+    """A group of a pattern as a number; null, not an empty text, goes to the cast where nothing fits: failing casts are slow."""
+    return F.nullif(F.regexp_extract(_text(url), pattern, group), F.lit("")).try_cast("long")
+
+
+def _number_in_query(url, names: tuple[str, ...]) -> Column:
+    """The first whole number that a parameter of one of the names has."""
+    return _number(url, rf"^[^?#]*\?(?:[^#]*?&)?(?i:{'|'.join(names)})=([+-]?\d{{1,19}})(?=[&#]|$)")
 
 
 def dimension(url, names: tuple[str, ...], pattern: str) -> Column:
-    """A size parameter's number, else the first number that the pattern finds in the lower-case address."""
-    values = F.transform(F.filter(_items(url), lambda i: F.lower(F.substring_index(i, "=", 1)).isin(*names)), lambda i: F.regexp_extract(i, r"=([+-]?\d+)$", 1).try_cast("long"))
-    values = F.filter(values, lambda v: v.isNotNull())
-    return F.coalesce(F.try_element_at(values, F.lit(1)), F.regexp_extract(F.lower(_text(url)), pattern, 1).try_cast("long"))
+    """A size parameter's number, else the first number that the pattern finds in the address."""
+    return F.coalesce(_number_in_query(url, names), _number(url, pattern))
 
 
 def safe_area(width: Column, height: Column) -> Column:
@@ -250,28 +265,35 @@ def safe_area(width: Column, height: Column) -> Column:
     return F.coalesce(F.try_multiply(F.greatest(width, F.lit(0).cast("long")), F.greatest(height, F.lit(0).cast("long"))), F.lit(C.MAX_INT // 8))
 
 
-def resolution_score(url, cargo: bool = True) -> Column:
-    """How many pixels an address promises: parameters, a pair in the name, a lone width or height."""
-    text = F.lower(_text(url))
-    width = dimension(url, ("w", "width"), C.WIDTH_IN_URL)
-    height = dimension(url, ("h", "height"), C.HEIGHT_IN_URL)
-    pair = F.when(text.rlike(C.PAIR_IN_FILE), _pair(text, C.PAIR_IN_FILE)).when(text.rlike(C.PAIR_IN_QUERY), _pair(text, C.PAIR_IN_QUERY))
+def promised_sizes(url) -> dict[str, Column]:
+    """The sizes that an address names: width, height, and a pair of both."""
+    pair = lambda i: F.coalesce(*(_number(url, p, i) for p in (C.PAIR_IN_FILE, C.PAIR_IN_QUERY)))
+    return {
+        "width": dimension(url, ("w", "width"), C.WIDTH_IN_URL), "height": dimension(url, ("h", "height"), C.HEIGHT_IN_URL),
+        "pair_width": pair(1), "pair_height": pair(2), "original": F.contains(F.lower(_text(url)), F.lit("freight.cargo.site/t/original/")),
+    }
+
+
+def score_of_sizes(sizes: dict[str, Column], cargo: bool = True) -> Column:
+    """How many pixels those are: of both parameters, of the pair, of a lone width or height."""
+    width, height = sizes["width"], sizes["height"]
     score = (
         F.when(width.isNotNull() & height.isNotNull(), safe_area(width, height))
-        .when(pair.isNotNull(), safe_area(pair["w"], pair["h"]))
+        .when(sizes["pair_width"].isNotNull(), safe_area(sizes["pair_width"], sizes["pair_height"]))
         .when(width.isNotNull(), safe_area(width, width))
         .when(height.isNotNull(), safe_area(height, height))
         .otherwise(F.lit(0).cast("long"))
     )
-    return F.when(F.contains(text, F.lit("freight.cargo.site/t/original/")), F.lit(C.MAX_INT // 4)).otherwise(score) if cargo else score
+    return F.when(sizes["original"], F.lit(C.MAX_INT // 4)).otherwise(score) if cargo else score
 
 
-def _pair(text: Column, pattern: str) -> Column:
-    return F.struct(F.regexp_extract(text, pattern, 1).cast("long").alias("w"), F.regexp_extract(text, pattern, 2).cast("long").alias("h"))
+def resolution_score(url, cargo: bool = True) -> Column:
+    """How many pixels an address promises."""
+    return score_of_sizes(promised_sizes(url), cargo)
 
 
 def has_query(url) -> Column:
-    return F.size(_items(url)) > 0
+    return F.regexp_extract(_text(url), _QUERY, 1).rlike("[^&]")
 
 
 def referer_priority(url) -> Column:

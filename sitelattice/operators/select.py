@@ -16,7 +16,11 @@ def largest_variants(assets: DataFrame, by: tuple[str, ...] = (), cargo: bool =
     the shuffle, so a key with very many variants does no harm.  ``ordered`` asks for
     the rows in the order of ``by`` and address.
     """
-    scored = assets.select(*by, "asset_url", urls.canonical_key("asset_url", cargo).alias("asset_key"), urls.resolution_score("asset_url", cargo).alias("score"))
+    # sizes are columns of their own, so that each is found once however often the score names it
+    sizes = urls.promised_sizes("asset_url")
+    found = assets.select(*by, "asset_url", *(c.alias(f"_{n}") for n, c in sizes.items()))
+    score = urls.score_of_sizes({n: F.col(f"_{n}") for n in sizes}, cargo)
+    scored = found.select(*by, "asset_url", urls.canonical_key("asset_url", cargo).alias("asset_key"), score.alias("score"))
     order = F.struct(-F.col("score"), urls.has_query("asset_url"), F.length("asset_url"), F.col("asset_url"))
     best = F.min_by(F.struct("asset_url", "score"), order)
     out = scored.groupBy(*by, "asset_key").agg(best.alias("best")).select(*by, "asset_key", F.col("best.asset_url").alias("asset_url"), F.col("best.score").alias("score"))
