@@ -606,6 +606,62 @@ def test_edited_passages_with_few_seeds(spark):
     assert {r.doc_id for r in got} == {d + 1 for d in range(0, 60, 2)}
 
 
+def edited(rng, words, share=0.08):
+    return [f"e{rng.randrange(10**9)}" if rng.random() < share else w for w in words]
+
+
+def mosaics(seed):
+    """Documents that share edited passages, after documents that hold overlapping parts of the same passages."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    rows, late = [], []
+    for _ in range(12):
+        passage = fresh(160)
+        for at in range(0, 130, 30):
+            rows.append(fresh(30) + passage[at : at + 40] + fresh(30))
+        late += [fresh(20) + edited(rng, passage) + fresh(20) for _ in range(3)]
+    rng.shuffle(rows)
+    return list(enumerate(rows + late))
+
+
+def plain_repeats(texts, least=substrings.LEAST):
+    """Words of each document that some smaller document repeats, by chains and alignments of all pairs, all k-mers being seeds."""
+    out, words = defaultdict(set), {d: np.array([zlib.crc32(w.encode()) for w in t], np.uint32) for d, t in texts}
+    where = {d: defaultdict(list) for d in words}
+    for d, t in texts:
+        for i in range(len(t) - substrings.K + 1):
+            where[d][tuple(t[i : i + substrings.K])].append(i)
+    for d, other in itertools.permutations(words, 2):
+        found = [(y, x) for k in where[d].keys() & where[other].keys() for y in where[d][k] for x in where[other][k]] if other < d else []
+        if found:
+            y, x = (np.array(c) for c in zip(*found))
+            for _, path in substrings.chain(x, y):
+                for y0, y1, *_ in substrings.passages(*substrings.align(words[d], words[other], y[path].tolist(), x[path].tolist()), least, 0.8):
+                    out[d].update(range(y0, y1))
+    return out
+
+
+def test_recall_of_edited_passages_against_all_pairs(spark):
+    texts = mosaics(31)
+    want = plain_repeats(texts)
+    got = covered_words(substrings.repeats(spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string")).collect())
+    all_ = sum(map(len, want.values()))
+    hit = sum(len(want[d] & got[d]) for d in want)
+    print("recall of words", hit / all_)
+    assert all_ > 2000 and hit / all_ >= 0.9
+    assert not set(got) - set(want)
+
+
+def test_copies_of_a_text_go_as_one(spark):
+    rng = random.Random(33)
+    text, other = text_of(rng, 90, 10**9), text_of(rng, 30, 10**9)
+    docs = spark.range(2000).select((F.col("id") + 5).alias("doc_id"), F.when(F.col("id") % 2 == 0, text).otherwise(other).alias("text"))
+    docs = docs.union(spark.createDataFrame([(2, text + " more words"), (None, text)], "doc_id long, text string"))
+    got = substrings.repeats(docs).collect()
+    assert len(got) == 1000 and {r.words_in_common for r in got} == {90}
+    assert {(r.doc_id, r.other_id) for r in got} == {(5, 2)} | {(d, 5) for d in range(7, 2005, 2)}
+
+
 def test_every_exact_run_is_reported(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id IS NOT NULL")
     texts = {r.doc_id: textvec.plain_words(pa.array([r.text], pa.string())).hash.tolist() for r in docs.collect()}
