@@ -267,6 +267,7 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame
     classes = scratch.keep(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
     rows = classes.select("rep", "copies", F.explode("a").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", (-F.col("rep")).alias("rep"))).alias("pivot")).where("n > 1").select("key", "n", "pivot.copies", (-F.col("pivot.rep")).alias("pivot"))
+    buckets = scratch.keep(buckets, "buckets")  # stored, so that Spark can split the join where very many rows have one key
     members = scratch.keep(rows.select("rep", "key").join(buckets, "key"), "members")
 
     sides = classes.select("rep", "b")
@@ -279,8 +280,9 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame
 
     labelled = members.join(stars.toDF("rep", "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
     labelled = scratch.keep(labelled, "labelled")
-    scratch.drop(members, star)
+    scratch.drop(members, star, buckets)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    mixed = scratch.keep(mixed, "mixed")
     open_ = scratch.keep(labelled.join(mixed, "key", "left_semi"), "open")
     cells = _cut_into_cells(open_)
     cells = cells.join(classes.select("rep", "a", "b"), "rep")
