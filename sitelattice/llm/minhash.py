@@ -41,7 +41,7 @@ from sitelattice.llm.runtime import BROADCAST_ROWS, Scratch, components, few_or_
 
 TUPLES, WIDTH = 26, 5
 #: Members of a cell, and of the other side of a cell, at most.
-CELL = 2048
+CELL = 512
 #: Pairs for each member from which on a cell carries its full sets.
 DENSE = 1
 #: Partners from which on a document's set is sent to several parts.
