@@ -123,6 +123,12 @@ def in_one_task(rows: DataFrame, order: list[Column], size: str, most_bytes: int
     return pickle.loads(found[0].model) if found else None
 
 
+def weight(df: DataFrame, array: str) -> int:
+    """Rows of ``df``, or a quarter of its array's elements if those are more: what to hold against ``BROADCAST_ROWS``."""
+    rows, elements = df.agg(F.count("*"), F.sum(F.size(array))).first()
+    return max(rows, (elements or 0) // 4)
+
+
 def few_or_joined(df: DataFrame, ids: DataFrame, on: list[str], n: int) -> DataFrame:
     """Inner join with a narrow side of ``n`` counted rows: broadcast if that is few, else shuffled."""
     return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("merge"), on)
