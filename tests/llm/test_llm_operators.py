@@ -746,6 +746,40 @@ def test_language_model_is_normalised():
         assert math.isclose((10.0 ** (score[0, one].astype(float) + score[1, two] - norm[one, two])).sum(), 1, rel_tol=1e-3)
 
 
+@pytest.mark.parametrize("frequent", [500_000, 40])
+def test_language_model_scores_token_by_token(spark, monkeypatch, frequent):
+    """Each token's probability is its class's, by a plain softmax over all classes, times its share of the class."""
+    monkeypatch.setattr(language_model, "FREQUENT", frequent)
+    rng, kept, scratch, most = random.Random(21), [], Scratch(spark, "test"), language_model.HEAD
+    docs = spark.createDataFrame([(i, prose(rng, 100)) for i in range(60)] + [(60, None), (61, "never seen")], "doc_id long, text string")
+    tables = language_model.LogBilinear.tables
+    monkeypatch.setattr(language_model.LogBilinear, "tables", lambda self: (kept.append(self), tables(self))[1])
+    model = language_model.fit(docs.where("doc_id < 50"), scratch)
+    got = {r.doc_id: r.score for r in language_model.score(docs, model, scratch, ["doc_id"]).collect()}
+    train = Counter(t for r in docs.where("doc_id < 50").collect() for t in [*words_of(r.text), None])
+    mark = {t: language_model.END if t is None else textvec.words(pa.array([t])).hash[0] for t in {*train, b"never", b"seen"}}
+    head = sorted(sorted(train, key=lambda t: (-train[t], int(mark[t].view(np.int64))))[:most], key=lambda t: int(mark[t]))
+    assert len(train) > most == len(head)
+    place = {t: i for i, t in enumerate(head)}
+    tail_of = lambda t: int(language_model._tokens(pa.RecordBatch.from_arrays([pa.array([t.decode()])], ["text"]))[1][0])
+    class_of = lambda t: place[t] if t in place else most + tail_of(t)
+    within = defaultdict(list)
+    for t, n in train.items():
+        if t not in place:
+            within[tail_of(t)].append(n)
+    lbl = kept[-1]
+    r, b, d = (x.astype(float) for x in (lbl.r, lbl.b, lbl.d))
+    for row in docs.collect():
+        total, before = 0.0, [language_model.BOS] * 2
+        for t in [*words_of(row.text), None]:
+            c = class_of(t)
+            logits = r[: language_model.BOS] @ (d[0] * r[before[-1]] + d[1] * r[before[-2]]) + b
+            share = 1.0 if c < most else (train[t] + 0.1) / (sum(within[c - most]) + 0.1 * (len(within[c - most]) + 1))
+            total += math.log10(math.exp(logits[c] - logits.max()) / np.exp(logits - logits.max()).sum() * share)
+            before.append(c)
+        assert math.isclose(got[row.doc_id], total, rel_tol=1e-3, abs_tol=1e-3)
+
+
 def test_language_model_on_odd_rows(spark, odd, empty):
     scratch = Scratch(spark, "test")
     rows = language_model.score(odd, language_model.fit(odd, scratch), scratch, ["doc_id", "score"]).collect()
