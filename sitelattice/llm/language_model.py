@@ -246,6 +246,9 @@ def fit(train: DataFrame, scratch: Scratch) -> dict:
     top = counts.orderBy(F.desc("n"), "word").limit(HEAD).select("word", "n").toArrow()  # HEAD rows, without a sort of the whole
     head, head_n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
     head, head_n = head[np.argsort(head)], head_n[np.argsort(head)]
+    more = ~np.isin(head, words)  # where a very large number of words have one count
+    words, n = np.concatenate([words, head[more]]), np.concatenate([n, head_n[more]])
+    words, n = words[np.argsort(words)], n[np.argsort(words)]
     tails = counts.where(~F.col("word").isin(head.view(np.int64).tolist())) if len(head) else counts
     tails = tails.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()  # TAILS rows
     in_tail = np.zeros((2, TAILS))
