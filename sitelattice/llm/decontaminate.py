@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +67,16 @@ def _halves(words: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.append(start, len(words.start)), doc
 
 
+def _by_half(feature: np.ndarray, start: np.ndarray, other: int) -> np.ndarray:
+    """The features of each half window side by side, ``other`` behind a short half's end."""
+    place = start[:-1, None] + np.arange(HALF)
+    return np.where(place < start[1:, None], feature[np.minimum(place, len(feature) - 1)], feature.dtype.type(other))
+
+
 def _sums(table: np.ndarray, feature: np.ndarray, start: np.ndarray) -> np.ndarray:
     """For each half window the sum of its words' rows of a table."""
     table = np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])  # for places behind a short half's end
-    place = start[:-1, None] + np.arange(HALF)
-    row = np.where(place < start[1:, None], feature[np.minimum(place, len(feature) - 1)], len(table) - 1)
+    row = _by_half(feature, start, len(table) - 1)
     out = table[row[:, 0]]
     for k in range(1, HALF):
         out += table[row[:, k]]
@@ -90,9 +96,12 @@ def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for rows in textvec.slices(batch, "text"):
                 words = textvec.plain_words(rows.column("text"))
                 start, _ = _halves(words)
-                owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
-                seen = np.unique((owner << BITS) + _feature(words))
-                total += np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS)
+                if not len(words.start):
+                    continue
+                feature = np.sort(_by_half(_feature(words).astype(np.int16), start, 1 << BITS), axis=1)
+                new = np.ones(feature.shape, bool)
+                new[:, 1:] = feature[:, 1:] != feature[:, :-1]
+                total += np.bincount(feature[new], minlength=(1 << BITS) + 1)[:-1]
                 passages += len(start) - 1
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], passages))], ["feature", "n"])
@@ -184,27 +193,39 @@ def _passages(words: textvec.Words, model: dict) -> dict:
     return {"latent": latent_[use], "marks": marks_[use], "start": start[:-1][use], "doc": doc[use]}
 
 
-def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence of two arrays of word hashes, by bit-parallel rows."""
+def _places(item: np.ndarray, text: np.ndarray) -> list[int]:
+    """For each word of the text the item's places that have it, as bits."""
     where: dict[int, int] = {}
     for i, x in enumerate(item.tolist()):
         where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(item)) - 1
+    return [where.get(x, 0) for x in text.tolist()]
+
+
+def _common(size: int, places: list[int]) -> int:
+    full = (1 << size) - 1
     row = full
-    for x in text.tolist():
-        match = where.get(x)
+    for match in places:
         if match:
             up = row & match
             row = (row + up | row - up) & full
-    return len(item) - row.bit_count()
+    return size - row.bit_count()
+
+
+def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
+    """Length of the longest common subsequence of two arrays of word hashes, by bit-parallel rows."""
+    return _common(len(item), _places(item, text))
 
 
 def _tight(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
-    """Best (length, start) of the common subsequence with a stretch of the region little longer than the item."""
+    """Best (length, start) of the common subsequence with a stretch of the region little longer than the item.
+
+    A stretch with no more words of the item than the best length so far cannot be better."""
     size, step = len(item) + max(len(item) // 4, 2), max(len(item) // 8, 1)
-    best = (0, 0)
+    places, best = _places(item, region), (0, 0)
+    some = list(accumulate((match > 0 for match in places), initial=0))
     for at in range(0, max(len(region) - size + step, 1), step):
-        best = max(best, (common_subsequence(item, region[at : at + size]), -at))
+        if some[min(at + size, len(places))] - some[min(at, len(places))] > best[0]:
+            best = max(best, (_common(len(item), places[at : at + size]), -at))
     return best[0], -best[1]
 
 

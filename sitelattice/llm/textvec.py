@@ -134,8 +134,9 @@ def split(data: np.ndarray, at: np.ndarray, lower: bool = True) -> Words:
 def plain_words(column: pa.Array) -> Words:
     """Words without their ASCII punctuation; those made of nothing else vanish."""
     data, at = text_buffer(column)
-    keep = ~_PUNCTUATION[data]
-    return split(data[keep], np.concatenate([[0], np.cumsum(keep)])[at])
+    gone = np.flatnonzero(_PUNCTUATION[data])
+    kept = data.tobytes().translate(None, _PUNCTUATION.nonzero()[0].astype(np.uint8).tobytes())
+    return split(np.frombuffer(kept, np.uint8), at - np.searchsorted(gone, at))
 
 
 def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
