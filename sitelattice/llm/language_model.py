@@ -10,9 +10,11 @@ of two exponentiated tables, so each token's log-probability is exactly normalis
 
 1. Counts of all words of all training documents, combined map-side and summed
    by Spark.  The table grows with the corpus and never leaves the cluster.
-2. Training: every task walks through its documents from the same start and
-   takes gradient steps on one in ``EVERY`` positions of each; the parameters are
-   averaged, weighted by positions.  The rounds together take every position once.
+2. Training: every task walks through its documents (``LEAST`` tokens or more,
+   on average) from the same start and takes gradient steps on one in ``EVERY``
+   positions of each; the parameters are averaged, weighted by positions.  The
+   rounds together take every position once.  It does not matter which worker
+   runs which task, nor how often.
 3. Scoring: the at most ``FREQUENT`` most frequent words' counts are broadcast;
    the other words' occurrences, a small part, meet their counts in a join.
 
@@ -24,6 +26,8 @@ tables give an empty result.  Extra columns do not matter.
 
 from __future__ import annotations
 
+from copy import deepcopy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +43,8 @@ EVERY = 3
 DIM, ROUNDS, BATCH, NOISE, RATE = 48, EVERY, 512, 96, 0.1  # a round for each remainder, so every position is a target once
 FREQUENT = 500_000
 ALPHA = 0.1
+#: Tokens that a training task has on average, at least: smaller partitions are merged, as the mean of many short walks stays near their start.
+LEAST = 1_000_000
 #: Pieces that the parameters are averaged in.
 PIECES = 64
 #: Distinct words that a task holds before it hands its counts on.
@@ -201,7 +207,7 @@ def _train_round(train: DataFrame, model: LogBilinear, head: np.ndarray, turn: i
         return pa.RecordBatch.from_arrays([pa.array(name), pa.array(piece, pa.int32()), pa.array(seen), pa.array([p.tobytes() for p in part], pa.binary())], ["name", "piece", "seen", "part"])
 
     def task(batches):
-        model, head = given.value
+        model, head = deepcopy(given.value)  # a worker keeps what is broadcast for its next task
         model.reset()
         rng, seen = np.random.default_rng(turn), 0
         cumulative = np.cumsum(model.share)
@@ -259,8 +265,9 @@ def fit(train: DataFrame, scratch: Scratch) -> dict:
     share[HEAD:] = in_tail[0] + ALPHA
     model = LogBilinear(share / share.sum())
     if total:
+        merged = train.coalesce(max(total // LEAST, 1))
         for turn in range(ROUNDS):
-            _train_round(train, model, head, turn, scratch)
+            _train_round(merged, model, head, turn, scratch)
     return {"counts": counts, "total": total or 0, "distinct": distinct, "words": words, "n": n, "head": head, "in_tail": in_tail, "tables": model.tables()}
 
 

@@ -735,6 +735,20 @@ def test_language_model_rounds_take_every_position():
     assert set(first[:-1]) <= set(language_model.positions(first, 0).tolist())
 
 
+def test_language_model_tasks_start_alike_in_a_reused_worker(spark):
+    share = np.random.default_rng(5).random(language_model.BOS)
+    text, scratch = F.lit("one two three four five six seven " * 60), Scratch(spark, "test")
+    found = []
+    for tasks in (1, 40):
+        model = language_model.LogBilinear(share / share.sum())
+        language_model._train_round(spark.range(0, tasks, 1, tasks).select(text.alias("text")), model, np.zeros(0, np.uint64), 0, scratch)
+        found.append(model)
+    start = language_model.LogBilinear(share / share.sum())
+    for name in start.NAMES:
+        one, many, before = (getattr(m, name) for m in (*found, start))
+        assert np.abs(one - before).max() > 1e-3 and np.allclose(one, many, atol=1e-6)
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(3)
     share = rng.random(language_model.BOS)
