@@ -749,6 +749,30 @@ def test_language_model_tasks_start_alike_in_a_reused_worker(spark):
         assert np.abs(one - before).max() > 1e-3 and np.allclose(one, many, atol=1e-6)
 
 
+def test_language_model_step_is_the_gradient_of_the_loss():
+    rng = np.random.default_rng(9)
+    share = rng.random(language_model.BOS)
+    model = language_model.LogBilinear(share / share.sum())
+    one, two, target = (rng.integers(0, 40, 64) for _ in range(3))
+    noise, k = rng.integers(0, 40, language_model.NOISE), language_model.NOISE
+    r, b, d = (getattr(model, n).astype(float).copy() for n in ("r", "b", "d"))
+    gr, gb, gd = np.zeros_like(r), np.zeros_like(b), np.zeros_like(d)
+    for i in range(64):
+        q = d[0] * r[one[i]] + d[1] * r[two[i]]
+        gq = np.zeros_like(q)
+        for c, true in [(target[i], 1), *((n, 0) for n in noise)]:
+            pull = true - 1 / (1 + np.exp(-(q @ r[c] + b[c] - np.log(k * model.share[c]))))
+            gr[c] += pull * q / 64
+            gb[c] += pull / 64
+            gq += pull * r[c]
+        for j, c in enumerate((one[i], two[i])):
+            gr[c] += gq * d[j] / 64
+            gd[j] += gq * r[c] / 64
+    model.step(one, two, target, noise)
+    for name, start, gradient in zip("rbd", (r, b, d), (gr, gb, gd)):
+        assert np.allclose(getattr(model, name), start + language_model.RATE * gradient / np.sqrt(1e-2 + gradient**2), atol=1e-5), name
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(3)
     share = rng.random(language_model.BOS)
