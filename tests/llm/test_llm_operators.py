@@ -652,6 +652,34 @@ def test_recall_of_edited_passages_against_all_pairs(spark):
     assert not set(got) - set(want)
 
 
+def test_passages_whose_seeds_stand_in_many_earlier_documents(spark):
+    rng = random.Random(41)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    passage, rows = fresh(120), []
+    for layer in range(5):
+        for at in range(0, 120, 20):
+            rows.append(fresh(30) + passage[max(at - 3 * layer, 0) : at + 30 - 3 * layer] + fresh(30))
+    rows += [fresh(20) + [w if i % 16 else f"e{k}-{i}" for i, w in enumerate(passage)] + fresh(20) for k in range(4)]
+    texts = list(enumerate(rows))
+    want = plain_repeats(texts)
+    got = covered_words(substrings.repeats(spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string")).collect())
+    assert {31, 32, 33} <= want.keys() and all(len(want[d] - got[d]) <= 0.02 * len(want[d]) for d in want)
+
+
+def test_a_frequent_line_is_held_against_every_document(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CELLS", 16, raising=False)
+    rng = random.Random(43)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    line, tail = fresh(16), fresh(54)
+    rows = [fresh(30) + line + fresh(60) for _ in range(150)]
+    # 54 words of which five of six are in common, with no seed but those of the line
+    rows[97][46:] = tail
+    rows[140][46:] = [w if i % 6 else f"e{i}" for i, w in enumerate(tail)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(rows)], "doc_id long, text string")
+    got = substrings.repeats(docs).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(140, 97)} and all(r.share >= 0.8 for r in got)
+
+
 def test_copies_of_a_text_go_as_one(spark):
     rng = random.Random(33)
     text, other = text_of(rng, 90, 10**9), text_of(rng, 30, 10**9)
