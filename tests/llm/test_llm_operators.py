@@ -680,6 +680,35 @@ def test_a_frequent_line_is_held_against_every_document(spark, monkeypatch):
     assert {(r.doc_id, r.other_id) for r in got} == {(140, 97)} and all(r.share >= 0.8 for r in got)
 
 
+def places_of_a_seed(rng, core, n, alike=()):
+    """Rows of ``_compared``: a line of ``core`` words in ``n`` documents, other words around it but for the pairs in ``alike``."""
+    around = np.array([[rng.randrange(2, 256) for _ in range(substrings.AROUND)] for _ in range(n)], np.uint8)
+    around[:, substrings.SIDE : substrings.SIDE + core] = 7
+    for a, b in alike:
+        around[a] = [w if i % 6 else rng.randrange(2, 256) for i, w in enumerate(around[b].tolist())]
+    zero, doc = pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n))
+    columns = {"seed": pa.array(np.zeros(n, np.int64)), "low": zero, "high": zero, "own": zero, "doc": doc, "y": pa.array(np.full(n, 200, np.int32)), "open": pa.array(np.ones(n, bool))}
+    columns |= {"near": pa.array([[]] * n, pa.list_(pa.int64())), "step": pa.array([[]] * n, pa.list_(pa.int32())), "words": pa.array([w.tobytes() for w in around], pa.binary())}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def test_a_run_too_short_for_a_passage_is_not_dense():
+    equal = np.zeros((3, substrings.AROUND), bool)
+    equal[0, 100:145] = equal[1, 100:150] = equal[2, 100:145] = equal[2, 150:153] = True
+    assert substrings._dense(equal, 50, 0.8).tolist() == [False, True, True]
+
+
+def test_places_that_are_looked_up_are_those_of_all_pairs(monkeypatch):
+    for core in (6, 16, 24, 36):
+        rng = random.Random(core)
+        rows = places_of_a_seed(rng, core, 220, [(150 + k, rng.randrange(150)) for k in range(30)])
+        found = []
+        for many in (10**9, 0):
+            monkeypatch.setattr(substrings, "MANY", many)
+            found.append({(r["doc"], r["other"]) for b in substrings._compared([rows], 50, 0.8) for r in b.to_pylist()})
+        assert found[0] == found[1] and len(found[0]) >= 25
+
+
 def test_copies_of_a_text_go_as_one(spark):
     rng = random.Random(33)
     text, other = text_of(rng, 90, 10**9), text_of(rng, 30, 10**9)
