@@ -77,10 +77,11 @@ def fingerprint_classes(images: DataFrame) -> DataFrame:
     return images.where("r IS NOT NULL").groupBy("r", "g", "b").agg(F.min("asset_url").alias("rep"), F.count("*").alias("n"))
 
 
-def _band_masks(bits: int) -> list[int]:
-    """``bits + 1`` bands of a 64-bit hash, as signed masks."""
+def _band_masks(bits: int, strided: bool = False) -> list[int]:
+    """``bits + 1`` bands of a 64-bit hash, as signed masks: runs of bits, or every ``bits + 1``-th bit."""
     edge = [64 * i // (bits + 1) for i in range(bits + 2)]
-    masks = [(1 << b) - (1 << a) for a, b in zip(edge, edge[1:])]
+    bands = [range(i, 64, bits + 1) for i in range(bits + 1)] if strided else [range(a, b) for a, b in zip(edge, edge[1:])]
+    masks = [sum(1 << i for i in band) for band in bands]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -90,22 +91,26 @@ def near_pairs(classes: DataFrame, bits: int = C.NEAR_BITS) -> DataFrame:
     Each hash is cut into ``bits + 1`` bands: two that differ in at most ``bits`` bits
     agree in one of them.  As all channels must be near, a pair agrees in a band of
     red and in a band of green; each such pair of bands is a key of an equi-join, so
-    none is missed, and images alike in one channel only do not meet.  A pair is
-    looked at under the first of its keys only, so none comes twice.
+    none is missed, and images alike in one channel only do not meet.  Bands of red are
+    runs of bits and bands of green are spread over the hash, so that a key tells
+    grey images, whose channels are the same, apart as well as others.  A pair is
+    looked at under the first of its keys only, so none comes twice.  Each fingerprint
+    makes ``(bits + 1) ** 2`` rows, which no size estimate sees: the join is always
+    a sorted one, nothing is sent to the driver.
     """
-    masks = _band_masks(bits)
-    band = lambda c, i: F.struct(F.lit(i).alias("i"), F.col(c).bitwiseAND(F.lit(masks[i])).alias("v"))
-    rows = classes.select("rep", "r", "g", "b", *(F.array(*(band(c, i) for i in range(len(masks)))).alias(f"{c}s") for c in "rg"))
+    masks = {"r": _band_masks(bits), "g": _band_masks(bits, strided=True)}
+    band = lambda c, i: F.struct(F.lit(i).alias("i"), F.col(c).bitwiseAND(F.lit(masks[c][i])).alias("v"))
+    rows = classes.select("rep", "r", "g", "b", *(F.array(*(band(c, i) for i in range(bits + 1))).alias(f"{c}s") for c in "rg"))
     rows = rows.withColumn("x", F.explode("rs")).withColumn("y", F.explode("gs"))
     side = lambda s: rows.select(F.col("rep").alias(s), *(F.col(c).alias(f"{s}{c}") for c in "rgb"), F.col("x.i").alias("i"), F.col("y.i").alias("j"), F.col("x.v").alias("v"), F.col("y.v").alias("w"))
 
     def first_equal(c: str) -> Column:
         differ = F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))
-        return F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)))
+        return F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks[c])))
 
     near = fp.is_near({c: F.col(f"a{c}") for c in "rgb"}, {c: F.col(f"b{c}") for c in "rgb"}, bits)
-    pairs = side("a").join(side("b"), ["i", "j", "v", "w"]).where((F.col("a") < F.col("b")) & near)
-    return pairs.where((first_equal("r") == F.col("i")) & (first_equal("g") == F.col("j"))).select("a", "b")
+    pairs = side("a").join(side("b").hint("merge"), ["i", "j", "v", "w"]).where(near & (first_equal("r") == F.col("i")) & (first_equal("g") == F.col("j")) & (F.col("a") < F.col("b")))
+    return pairs.select("a", "b")
 
 
 def _free_names(batches, folder: str, columns: list[str], classic: bool):

@@ -195,6 +195,22 @@ def test_near_pairs_against_all_pairs(spark, bits):
     assert want and {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_near_pairs_are_not_sent_to_the_driver(spark):
+    """However small the estimate of the fingerprints' size, their bands are joined by a shuffle."""
+    rows = spark.createDataFrame([("a", 1, 1, 1), ("b", 3, 3, 3)], "rep string, r long, g long, b long")
+    pairs = dedupe.near_pairs(rows)
+    assert [tuple(r) for r in pairs.collect()] == [("a", "b")]
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bands_of_green_are_spread_over_those_of_red():
+    for bits in (8, 12):
+        red, green = dedupe._band_masks(bits), dedupe._band_masks(bits, strided=True)
+        for masks in (red, green):
+            assert sum(m % (1 << 64) for m in masks) == (1 << 64) - 1 and len(masks) == bits + 1
+        assert max(((r & g) % (1 << 64)).bit_count() for r in red for g in green) == 1
+
+
 @pytest.mark.parametrize("raw, want", [("\n/c.jpg\t", "https://a.com/c.jpg"), ("\u00a0 c.jpg\r\n", "https://a.com/x/c.jpg"), ("\tdata:image/png;base64,A", None), ("", None)])
 def test_normalize_strips_white_space_and_line_ends(spark, raw, want):
     assert one(spark, urls.normalize("r", F.col("b")), r=raw, b="https://a.com/x/y.html") == want
