@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from sitelattice.functions import constants as C
 
 
-def _folder(spark) -> str:
-    """The shared folder that the cluster names; a temporary one where a local session has none."""
+def shared_folder(spark, name: str) -> str:
+    """A new path in the shared folder that the cluster names; in a temporary one where a local session has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-    return f"{folder.rstrip('/')}/crawl-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def crawl(edges: DataFrame, starts: DataFrame, most: int = C.MAX_PAGES, max_depth: int | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def crawl(edges: DataFrame, starts: DataFrame, most: int = C.MAX_PAGES, max_dept
     bounded and a window over a site is small.  Pages deeper than ``max_depth`` are
     not visited.  Each level is written to the shared folder, which cuts the lineage.
     """
-    spark, root = edges.sparkSession, _folder(edges.sparkSession)
+    spark, root = edges.sparkSession, shared_folder(edges.sparkSession, "crawl")
     level = starts.select("site", "page", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("visit_rank"))
     depth = 0
     while True:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelattice.functions import constants as C
+from sitelattice.operators.crawl import shared_folder
 
 
 @dataclass(frozen=True)
@@ -49,12 +50,17 @@ def positions(rows: DataFrame, *order: str) -> DataFrame:
 
     A queue is one list, but a long one is numbered in parallel: rows are dealt out
     by range, counted by partition, and each partition starts after those before it.
+    The rows are written to the shared folder as they were dealt, with their partition
+    and place: a second dealing may draw other bounds, and counts of the one would not
+    fit rows of the other.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    inside = Window.partitionBy("_part").orderBy("_at")
+    path = shared_folder(rows.sparkSession, "queue")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt.write.parquet(path)
+    dealt = rows.sparkSession.read.schema(dealt.schema).parquet(path).select("*", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    ahead = counts.withColumn("_ahead", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row for each partition
-    return dealt.withColumn("_i", F.row_number().over(inside)).join(F.broadcast(ahead), "_part").withColumn("position", (F.col("_i") + F.col("_ahead")).cast("int")).drop("_part", "_at", "_i", "_ahead")
+    ahead = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))  # a row for each partition
+    return dealt.join(F.broadcast(ahead), "_part").withColumn("position", (F.col("_i") + F.col("_ahead") + 1).cast("int")).drop("_part", "_at", "_i", "_ahead")
 
 
 def move_before(queue: DataFrame, moved: str, target: str) -> DataFrame:

@@ -351,3 +351,16 @@ def test_late_events_are_left_out(spark, tmp_path):
     query = rows.writeStream.format("memory").queryName("minutes").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r.n for r in spark.table("minutes").collect()] == [2]
+
+
+def test_long_queues_are_numbered_without_gaps(spark):
+    """Of more rows than the bounds of ranges are drawn from; some of them long, which only one use of the rows reads."""
+    n = 200_000
+    rows = spark.range(0, n, 1, 8).select(F.concat(F.lit("u"), F.hash("id").cast("string"), F.lit("-"), "id").alias("url"), F.xxhash64("id").alias("k"))
+    got = jobs.positions(rows, "k").agg(F.count("*"), F.min("position"), F.max("position"), F.countDistinct("position")).first()
+    assert tuple(got) == (n, 1, n, n)
+    queue = jobs.positions(rows, "k").select("position", "url")
+    first, last = (queue.where(F.col("position") == i).first().url for i in (7, n))
+    moved = jobs.move_before(queue, last, first)
+    assert moved.where("position BETWEEN 6 AND 8").orderBy("position").collect()[1].url == last
+    assert moved.select("position").distinct().count() == n
