@@ -53,19 +53,24 @@ def raw_candidates(html, scan_cdn: bool = False) -> Column:
     return F.flatten(F.array(*parts, *([scanned_urls(html)] if scan_cdn else [])))
 
 
-def page_assets(pages: DataFrame, scan_cdn: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(url, asset_url), distinct, with the page's columns ``keep``.
-
-    One pass over the pages: raw values are made distinct within a page before
-    they are normalised, and only (url, asset_url) pairs are shuffled.
-    """
+def found_assets(pages: DataFrame, scan_cdn: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(url, asset_url) with the page's columns ``keep``, distinct within each row of ``pages``: one pass, no shuffle."""
     raw = raw_candidates(F.col("html"), scan_cdn)
     if "asset_candidates" in pages.columns:
         raw = F.concat(raw, F.coalesce("asset_candidates", F.array().cast("array<string>")))
     # normalised inside the array: a filter on the exploded column would evaluate it twice
     normal = F.transform(F.array_distinct(raw), lambda v: urls.normalize(v, F.col("url")))
     found = F.array_distinct(F.filter(F.concat(normal, sanity_urls(F.col("html"))), lambda u: u.isNotNull()))
-    return pages.select("url", *keep, F.explode(found).alias("asset_url")).distinct()
+    return pages.select("url", *keep, F.explode(found).alias("asset_url"))
+
+
+def page_assets(pages: DataFrame, scan_cdn: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(url, asset_url), distinct, with the page's columns ``keep``.
+
+    One pass over the pages: raw values are made distinct within a page before
+    they are normalised, and only (url, asset_url) pairs are shuffled.
+    """
+    return found_assets(pages, scan_cdn, keep).distinct()
 
 
 def page_links(pages: DataFrame, site: str = "site_url", strict_origin: bool = False, keep: tuple[str, ...] = (), legacy: bool = False) -> DataFrame:

@@ -37,13 +37,12 @@ def assets_of_sites(pages: DataFrame, scan_cdn: bool = False, carry_referer: boo
     """(site, asset_key, asset_url, score, page_url): one variant of each asset with its best referer.
 
     ``pages(site, url, html, visit_rank)``.  Every step is keyed by site and asset.
+    There are no joins: what a page has is sent once to the address that it is kept
+    under, and once more, as a referer only, to the address found if that is another.
     """
     by = ("site",)
-    found = extract.page_assets(pages, scan_cdn, keep=("site", "visit_rank")).withColumnRenamed("url", "page_url")
-    referers = select.best_referer(found, by)
-    assets = select.upgrade_uploads(found.select("site", "asset_url").distinct(), referers, by, carry_referer)
-    best = select.largest_variants(assets, by)
-    return best.join(assets, ["site", "asset_url"], "left").select("site", "asset_key", "asset_url", "score", "page_url")
+    found = extract.found_assets(pages, scan_cdn, keep=("site", "visit_rank")).withColumnRenamed("url", "page_url")
+    return select.largest_variants(select.upgraded_with_referers(found, by, carry_referer), by, keep=("page_url",))
 
 
 def site_summary(pages: DataFrame, **options) -> DataFrame:

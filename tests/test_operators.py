@@ -364,3 +364,22 @@ def test_long_queues_are_numbered_without_gaps(spark):
     moved = jobs.move_before(queue, last, first)
     assert moved.where("position BETWEEN 6 AND 8").orderBy("position").collect()[1].url == last
     assert moved.select("position").distinct().count() == n
+
+
+@pytest.mark.parametrize("carry", [False, True])
+def test_assets_of_sites_need_no_join(spark, carry):
+    """As from the steps one by one; an upload may be the upgrade of another and be upgraded itself."""
+    up = "https://s.com/wp-content/uploads/2024/05/"
+    pages = spark.createDataFrame([
+        ("https://s.com/", "https://s.com/a", f"<img src='{up}x-10x10-20x20.jpg'><img src='/c.jpg?w=10'>", 2),
+        ("https://s.com/", "https://s.com/b/c", f"<img src='{up}x-10x10.jpg'><img src='{up}y-30x30.jpg'><img src='/c.jpg?w=20'>", 1),
+        ("https://s.com/", "https://s.com/d", f"<img src='{up}y.jpg'><img src='/c.jpg?w=20'>", 0),
+        ("https://s.com/", "https://s.com/d", f"<img src='{up}y.jpg'>", 0),
+        ("https://t.com/", "https://t.com/", f"<img src='{up}y-30x30.jpg'>", 0),
+    ], "site string, url string, html string, visit_rank int")
+    got = summary.assets_of_sites(pages, carry_referer=carry)
+    found = extract.page_assets(pages, keep=("site", "visit_rank")).withColumnRenamed("url", "page_url")
+    assets = select.upgrade_uploads(found.select("site", "asset_url").distinct(), select.best_referer(found, ("site",)), ("site",), carry)
+    want = select.largest_variants(assets, ("site",)).join(assets, ["site", "asset_url"], "left").select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 4
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
