@@ -103,18 +103,25 @@ def slugs(html, classic: bool = False) -> Column:
 def slug_links(pages: DataFrame, url_status: DataFrame, most: int | None = C.MAX_SLUGS, classic: bool = False) -> DataFrame:
     """(url, slug, link): for each slug the first template whose address answers 200.
 
-    ``url_status(url, status)`` says what addresses answer; the six templates are
-    exploded from a literal, and the status is an equi-join.
+    ``url_status(url, status)`` says what addresses answer.  Slugs have no slash, so an
+    address that answers is cut into page, template and slug, the best template of
+    each is kept, and page and slug are an equi-join: neither side is multiplied by
+    the templates, and no estimate decides to send one to the driver.
     """
     found = slugs(F.col("html"), classic)
     found = F.slice(found, 1, most) if most else found
     base = F.regexp_replace(urls.path("url"), "^/+|/+$", "")
     prefix = F.concat(urls.origin("url"), F.when(base == "", "").otherwise(F.concat(F.lit("/"), base)))
     rows = pages.where(F.contains("html", F.lit("self.__next_f"))).select("url", prefix.alias("prefix"), F.explode(found).alias("slug"))
-    templates = F.array(*(F.lit(p) for p in C.SLUG_PREFIXES))
-    rows = rows.select("url", "slug", "prefix", F.posexplode(templates).alias("rank", "template")).select("url", "slug", "rank", F.concat("prefix", "template", "slug").alias("link"))
-    fine = url_status.where("status = 200").select(F.col("url").alias("link")).distinct()
-    return rows.join(fine, "link", "left_semi").groupBy("url", "slug").agg(F.min_by("link", "rank").alias("link"))
+    fine = url_status.where("status = 200").select(F.col("url").alias("link"), F.regexp_extract("url", "([^/]*)$", 1).alias("slug")).where("slug <> ''")
+    fine = fine.withColumn("above", F.expr("left(link, length(link) - length(slug))"))
+    ends = F.array(*(F.when(F.col("above").endswith(p), F.struct(F.lit(i).alias("rank"), F.expr(f"left(above, length(above) - {len(p)})").alias("prefix"))) for i, p in enumerate(C.SLUG_PREFIXES)))
+    fine = fine.select("slug", "link", F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("x")).groupBy("x.prefix", "slug").agg(F.min("x.rank").alias("rank"))
+    template = F.element_at(F.array(*(F.lit(p) for p in C.SLUG_PREFIXES)), F.col("rank") + 1)
+    # a fixed number of partitions: merged by their packed bytes, such rows are many times larger in memory
+    rows = rows.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "prefix", "slug")
+    # an address has one prefix, so that these are its slugs, and they are where the join has put them
+    return rows.join(fine.hint("merge"), ["prefix", "slug"]).groupBy("prefix", "slug", "url").agg(F.min("rank").alias("rank")).select("url", "slug", F.concat("prefix", template, "slug").alias("link"))
 
 
 class _Classic(HTMLParser):

@@ -383,3 +383,15 @@ def test_assets_of_sites_need_no_join(spark, carry):
     want = select.largest_variants(assets, ("site",)).join(assets, ["site", "asset_url"], "left").select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 4
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slug_links_are_joined_by_slug(spark):
+    """Not once for each template; the first template that answers counts, under the page's own address."""
+    found = '<script>self.__next_f.push({"slug":"one-1"},{"slug":"two"},{"slug":"three"})</script>'
+    pages = spark.createDataFrame([("https://a.com/x/?q", found), ("https://a.com", found), ("https://a.com", found)], "url string, html string")
+    answers = [("https://a.com/x/portfolio/one-1", 200), ("https://a.com/x/works/one-1", 200), ("https://a.com/x/work/one-1", 404), ("https://a.com/work/two", 200), ("https://a.com/work/two", 200),
+               ("https://a.com/y/work/two", 200), ("https://a.com/x/homework/three", 200), ("https://a.com/x/work/three/", 200), ("https://a.com/work/work/one-1", 200), (None, 200)]
+    links = extract.slug_links(pages, spark.createDataFrame(answers, "url string, status int"))
+    assert sorted(map(tuple, links.collect())) == [("https://a.com", "two", "https://a.com/work/two"), ("https://a.com/x/?q", "one-1", "https://a.com/x/works/one-1")]
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "posexplode" not in plan
