@@ -109,9 +109,24 @@ def names_in(text: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
 
 
+#: Inputs whose pages are made of a few bytes of a row, and so many rows at most that one task turns into pages.
+PAGES, PAGES_IN_TASK = ("rich_pages", "rendered_pages", "slug_pages", "cargo_pages"), 20_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by ``key`` to tasks of ``PAGES_IN_TASK`` rows or so, and to every core at least.
+
+    A file of a few MB is one task to Spark, whatever its rows grow to.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PAGES_IN_TASK)), key)
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = INPUTS[name]
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names_in(text)})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names_in(text)}
+    if name in PAGES:
+        tables["part"] = spread(tables["part"], "p_partkey")
+    return spark.sql(text, **tables)
 
 
 def sql(text: str) -> str:

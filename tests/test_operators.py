@@ -11,6 +11,7 @@ from sitelattice import sources, streaming
 from sitelattice.functions import constants as C
 from sitelattice.functions import fingerprints, http, names, urls
 from sitelattice.operators import crawl, dedupe, extract, jobs, select, summary
+from sitelattice.plans import inputs
 
 ONES = (1 << 63) - 1
 
@@ -395,3 +396,12 @@ def test_slug_links_are_joined_by_slug(spark):
     assert sorted(map(tuple, links.collect())) == [("https://a.com", "two", "https://a.com/work/two"), ("https://a.com/x/?q", "one-1", "https://a.com/x/works/one-1")]
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "posexplode" not in plan
+
+
+@pytest.mark.parametrize("name", inputs.PAGES)
+def test_pages_are_made_by_many_tasks(spark, tmp_path, name):
+    """However few bytes of a table they come from."""
+    spark.range(50_000).select(F.col("id").alias("p_partkey"), F.lit(1).alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    pages = inputs.derived(spark, str(tmp_path), name)
+    in_task = [r.n for r in pages.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(in_task) >= 3 and sum(in_task) == 50_000 and max(in_task) < 20_000
