@@ -53,8 +53,8 @@ def upgrade_uploads(assets: DataFrame, referers: DataFrame | None, by: tuple[str
 def upgraded_with_referers(candidates: DataFrame, by: tuple[str, ...] = (), carry_referer: bool = False) -> DataFrame:
     """(asset_url, page_url) and ``by``: ``upgrade_uploads`` with each asset's ``best_referer``, as aggregates of one stream.
 
-    ``candidates(asset_url, page_url, visit_rank)``.  A page counts as a referer for the
-    address that it names.  An address that was only named, and which no upgrade leads
+    ``candidates(asset_url, page_url, visit_rank)``, and the page's ``referer_priority`` if it
+    is known.  A page counts as a referer for the address that it names.  An address that was only named, and which no upgrade leads
     to, is not an asset.
     """
     if carry_referer:
@@ -62,9 +62,10 @@ def upgraded_with_referers(candidates: DataFrame, by: tuple[str, ...] = (), carr
     sent = lambda url, page, kept: F.struct(F.col(url).alias("asset_url"), page.alias("page_url"), F.lit(kept).alias("kept"))
     page = F.col("page_url")
     both = F.array(sent("_full", F.lit(None).cast("string"), True), sent("asset_url", page, False))
-    rows = candidates.withColumn("_full", urls.wordpress_original("asset_url"))
-    rows = rows.select(*by, "visit_rank", F.explode(F.when(F.col("_full") == F.col("asset_url"), F.array(sent("asset_url", page, True))).otherwise(both)).alias("x")).select(*by, "visit_rank", "x.*")
-    order = F.when(page.isNotNull(), F.struct(-urls.referer_priority("page_url"), F.col("visit_rank"), page))
+    rows = candidates if "referer_priority" in candidates.columns else candidates.withColumn("referer_priority", urls.referer_priority("page_url"))
+    rows = rows.withColumn("_full", urls.wordpress_original("asset_url"))
+    rows = rows.select(*by, "visit_rank", "referer_priority", F.explode(F.when(F.col("_full") == F.col("asset_url"), F.array(sent("asset_url", page, True))).otherwise(both)).alias("x")).select(*by, "visit_rank", "referer_priority", "x.*")
+    order = F.when(page.isNotNull(), F.struct(-F.col("referer_priority"), F.col("visit_rank"), page))
     return rows.groupBy(*by, "asset_url").agg(F.min_by("page_url", order).alias("page_url"), F.bool_or("kept").alias("kept")).where("kept").drop("kept")
 
 

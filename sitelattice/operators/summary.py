@@ -41,7 +41,8 @@ def assets_of_sites(pages: DataFrame, scan_cdn: bool = False, carry_referer: boo
     under, and once more, as a referer only, to the address found if that is another.
     """
     by = ("site",)
-    found = extract.found_assets(pages, scan_cdn, keep=("site", "visit_rank")).withColumnRenamed("url", "page_url")
+    ranked = pages.withColumn("referer_priority", urls.referer_priority("url"))  # once for a page, not for each of its assets
+    found = extract.found_assets(ranked, scan_cdn, keep=("site", "visit_rank", "referer_priority")).withColumnRenamed("url", "page_url")
     return select.largest_variants(select.upgraded_with_referers(found, by, carry_referer), by, keep=("page_url",))
 
 
@@ -49,6 +50,6 @@ def site_summary(pages: DataFrame, **options) -> DataFrame:
     """(site, studio, platform, pages, candidates, videos): what a run would find on each site."""
     assets = assets_of_sites(pages, **options).groupBy("site").agg(F.count("*").alias("candidates"), F.count_if(select.media_kind("asset_url") == "video").alias("videos"))
     sites = pages.groupBy("site").agg(F.count("*").alias("pages"), F.when(F.bool_or(is_cargo(F.col("html"))), "Cargo").otherwise("Standard").alias("platform"))
-    out = sites.join(assets, "site", "left")
+    out = sites.join(assets.hint("merge"), "site", "left")  # sites may be many, which no size estimate sees
     zero = F.lit(0).cast("long")
     return out.select("site", names.studio_name(urls.start_url("site")).alias("studio"), "platform", "pages", F.coalesce("candidates", zero).alias("candidates"), F.coalesce("videos", zero).alias("videos"))

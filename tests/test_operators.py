@@ -384,6 +384,7 @@ def test_assets_of_sites_need_no_join(spark, carry):
     want = select.largest_variants(assets, ("site",)).join(assets, ["site", "asset_url"], "left").select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 4
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in summary.site_summary(pages, carry_referer=carry)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_slug_links_are_joined_by_slug(spark):
